@@ -42,7 +42,7 @@ GRAM, BLOCK = 5, 250
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
 MAX_DF = 0.005
 FIT_PAGES, RANK, EXTRA = 3000, 256, 16
-LEAST_COSINE, LEAST_SHARE = 0.45, 0.12
+LEAST_COSINE, LEAST_SHARE = 0.5, 0.12
 LEAST_WORDS = 12
 SLICE = 1_000_000
 
@@ -331,20 +331,28 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
     if not len(i0):
         return 0
     i1, j1 = i0 + size, j0 + size
-    edge = np.zeros(len(page) + 6, dtype=bool)
-    edge[np.r_[np.flatnonzero(page_codes & PIECE), len(page)] + 2] = True
-    near = edge[:-4] | edge[1:-3] | edge[2:-2] | edge[3:-1] | edge[4:]  # within two letters of a line's or column's edge
+    # Within six letters of a line's or column's edge.
+    edge = np.zeros(len(page) + 1, dtype=np.int64)
+    edge[np.r_[np.flatnonzero(page_codes & PIECE), len(page)]] = 1
+    seen = np.r_[0, np.cumsum(edge)]
+    spot = np.arange(len(page) + 1)
+    near = seen[np.minimum(spot + 7, len(page) + 1)] > seen[np.maximum(spot - 6, 0)]
     score, back = size.astype(np.float64), np.full(len(size), -1)
     for b in range(1, len(size)):
-        a = np.flatnonzero((i0[:b] < i0[b]) & (j0[:b] < j0[b]) & (i1[:b] < i1[b]) & (j1[:b] < j1[b]))
+        behind = j1[b] <= j0[:b]
+        a = np.flatnonzero((i0[:b] < i0[b]) & (i1[:b] < i1[b]) & (behind | (j0[:b] < j0[b]) & (j1[:b] < j1[b])))
         if not len(a):
             continue
+        behind = behind[a]
         gi, gj = i0[b] - i1[a], j0[b] - j1[a]
-        over = np.maximum(0, np.maximum(-gi, -gj))
+        over = np.maximum(0, np.maximum(-gi, np.where(behind, 0, -gj)))
         gi, gj = gi + over, gj + over
-        misread = (np.abs(gi - gj) <= 3) & (np.maximum(gi, gj) <= 16)
-        jump = 3 + 0.5 * gi + 0.01 * gj + 4.0 * ~near[j1[a]] + 4.0 * ~near[j0[b]]
-        cost = np.where(misread, 0.5 * np.maximum(gi, gj), np.where(gi <= 14, jump, 1e9))
+        off = (~near[j1[a]]).astype(np.float64) + (not near[j0[b]])
+        misread = ~behind & (np.abs(gi - gj) <= 3) & (np.maximum(gi, gj) <= 16)
+        jump = 3 + 0.5 * gi + 0.01 * gj + 4.0 * off
+        # From the foot of a column to the head of the next, where columns were read across each other.
+        turn = np.where(off > 0, 1e9, 8 + 0.5 * gi - 0.01 * gj)
+        cost = np.where(misread, 0.5 * np.maximum(gi, gj), np.where(gi > 14, 1e9, np.where(behind, turn, jump)))
         v = score[a] + size[b] - over - cost
         k = int(v.argmax())
         if v[k] > score[b]:
@@ -360,7 +368,7 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
         a, z, c, e = i1[x], i0[y], j1[x], j0[y]
         if z - a <= 0:
             continue
-        if z - a <= 3 or (abs((z - a) - (e - c)) <= 3 and e > c and _lcs(item[a:z].tolist(), page[c:e].tolist()) >= 0.34 * (z - a)):
+        if z - a <= 3 or (e > c and abs((z - a) - (e - c)) <= 3 and _lcs(item[a:z].tolist(), page[c:e].tolist()) >= 0.34 * (z - a)):
             held[a:z] = 1
         else:  # other matter in between: what follows the one run and what precedes the other
             held[a:z] = _torn(item[a:z], page, c, e)
@@ -378,19 +386,16 @@ def _torn(gap: np.ndarray, page: np.ndarray, end: int, start: int) -> np.ndarray
     """Which letters of the item's gap stand, misread, right behind the first run or right before the second."""
     n = len(gap)
     out = np.zeros(n, dtype=np.int8)
-    left = page[end : min(end + n, start)]
-    right = page[max(end, start - n) : start]
-    m = min(n, len(left))
-    same = np.cumsum(gap[:m] == left[:m])
-    good = np.flatnonzero(same >= 0.6 * np.arange(1, m + 1))
-    if len(good):
-        out[: good[-1] + 1] = 1
-    m = min(n, len(right))
-    if m:
-        same = np.cumsum(gap[::-1][:m] == right[::-1][:m])
-        good = np.flatnonzero(same >= 0.6 * np.arange(1, m + 1))
-        if len(good):
-            out[n - good[-1] - 1 :] = 1
+    left, right = page[end : end + n + 2].tolist(), page[max(0, start - n - 2) : start].tolist()
+    g = gap.tolist()
+    for k in range(n, 1, -1):
+        if _lcs(g[:k], left[: k + 2]) >= 0.7 * k:
+            out[:k] = 1
+            break
+    for k in range(n, 1, -1):
+        if _lcs(g[n - k :], right[-(k + 2) :]) >= 0.7 * k:
+            out[n - k :] = 1
+            break
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.llm import formats, pairs
+from quillgate.llm import formats, leaks, pairs
 from quillgate.sources.tables import table
 
 
@@ -31,6 +31,16 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return pairs.scored(table(spark, d, "audit"), least=5).drop("lift")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: pages that hold it and the longest run of its words on any."""
+    hits = leaks.search(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("n_words") >= leaks.LEAST_WORDS)
+    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("n_words").alias("longest_run"))
+
+
 _PAIRS = """
 WITH u AS (
   SELECT DISTINCT 'column_reads' origin, request_id r, e.key dataset, lower(c) item FROM (
@@ -52,4 +62,4 @@ SQL = {
     "p3_scores": _PAIRS + "SELECT * FROM f",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items)}
