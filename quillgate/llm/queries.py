@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.llm import formats, leaks, pairs
+from quillgate.llm import formats, leaks, mixing, pairs, spans
 from quillgate.sources.tables import table
 
 
@@ -41,6 +41,26 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("n_words").alias("longest_run"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix(mixing.counted(table(spark, d, "documents"), targets), targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    pages = mixing.counted(table(spark, d, "documents"), targets)
+    return mixing.shares(pages, targets, mixing.mix(pages, targets))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.found(table(spark, d, "documents"))
+
+
+def p10_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each page that an earlier page has too: what keeping first copies only removes."""
+    return spans.covered(spans.windows(table(spark, d, "documents"))).where("repeated_chars > 0")
+
+
 _PAIRS = """
 WITH u AS (
   SELECT DISTINCT 'column_reads' origin, request_id r, e.key dataset, lower(c) item FROM (
@@ -62,4 +82,4 @@ SQL = {
     "p3_scores": _PAIRS + "SELECT * FROM f",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_repeated)}
