@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgate.operators import coverage, policy, usage
 from quillgate.operators.policy import Rule, Scope
 from quillgate.sources.tables import table
+from quillgate.streaming import incremental
 
 RULES = [
     Rule("pii-default", "mask", "auto", tag="pii"),
@@ -95,6 +96,10 @@ def usage_daily(spark: SparkSession, d: str) -> DataFrame:
     return usage.daily(table(spark, d, "audit"))
 
 
+def usage_streamed(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.run_daily_usage(spark, f"{d}/audit.parquet")
+
+
 def usage_by_principal(spark: SparkSession, d: str) -> DataFrame:
     return usage.by_principal(table(spark, d, "audit"))
 
@@ -225,6 +230,7 @@ SQL = {
       y AS (SELECT x.*, coalesce(o.action, 'unknown') AS action FROM x LEFT JOIN outc o ON o.dataset_urn = x.dataset_urn AND lower(o.col) = x.col)
       SELECT dataset_urn, action, count(*) AS n_reads, count(DISTINCT line_no) AS n_requests FROM y GROUP BY 1, 2""",
 }
+SQL["usage_streamed"] = SQL["usage_daily"]
 SQL["denied_attempts"] = "SELECT dataset_urn, n_requests, denied_attempts, last_line, nullif(lp, chr(0)) AS last_principal, last_snapshot FROM (" + SQL["denied_attempts"] + ")"
 SQL["substitute_pick"] = _C + ", " + _REQUESTS.lstrip().removeprefix("WITH ") + """,
   w AS (SELECT DISTINCT dataset_urn urn, unnest(cols) c FROM rd), s AS (SELECT l.src_urn urn, l.dst_urn sub, min(l.ord) ord FROM lineage l JOIN ds o ON o.urn = l.src_urn AND o.lifecycle = 'DEPRECATED'
@@ -235,5 +241,5 @@ SQL["substitute_pick"] = _C + ", " + _REQUESTS.lstrip().removeprefix("WITH ") +
 
 QUERIES = {f.__name__: f for f in (
     column_outcomes, coverage_summary, coverage_gaps, proposals, dead_rules, unowned, unreachable, orphan_deprecated, visible_tables, certified_substitutes,
-    substitute_pick, name_index, usage_daily, usage_by_principal, usage_by_column, top_sql, denied_attempts, ledger_recent, explain_last, usage_read_back, audit_replay,
+    substitute_pick, name_index, usage_daily, usage_streamed, usage_by_principal, usage_by_column, top_sql, denied_attempts, ledger_recent, explain_last, usage_read_back, audit_replay,
 )}

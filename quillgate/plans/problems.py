@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgate.operators import hierarchy, history, nested, sessions, snapshot_diff
 from quillgate.sources.tables import table
+from quillgate.streaming import incremental
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +83,12 @@ def p7_lengths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The same sessions, the log read as a stream."""
+    s = incremental.run_sessions(spark, f"{d}/audit.parquet")
+    return s.select(F.col("user").alias("principal"), "start_us", "end_us", F.col("n").alias("n_requests"))
+
+
 _DATASETS = """
 s AS (SELECT snap_id, source_url, compiled_at, payload::JSON p FROM snapshots WHERE json_valid(payload)),
 t AS (SELECT snap_id, json_extract(p, '$.datasets') d FROM s),
@@ -231,6 +238,8 @@ f AS (SELECT principal, min(at_us) AS start_us, max(at_us) AS end_us, count(*) A
 SQL["p7_found"] = _SESSIONS + "SELECT * FROM f"
 SQL["p7_lengths"] = _SESSIONS + "SELECT principal, count(*) AS n_sessions, sum(n_requests)::BIGINT AS n_requests, max(end_us - start_us) AS longest_us FROM f GROUP BY principal"
 
+SQL["p7_streamed"] = SQL["p7_found"]
+
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_variants, p1_datasets, p1_columns, p1_edges, p4_found, p4_open_versions, p5_found, p5_paths, p5_descendants, p6_found, p6_intervals, p7_found, p7_lengths,
+    p1_found, p1_variants, p1_datasets, p1_columns, p1_edges, p4_found, p4_open_versions, p5_found, p5_paths, p5_descendants, p6_found, p6_intervals, p7_found, p7_lengths, p7_streamed,
 )}
