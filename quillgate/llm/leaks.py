@@ -41,7 +41,7 @@ from quillgate.session import cut
 GRAM, BLOCK = 5, 250
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
 MAX_DF = 0.005
-FIT_PAGES, RANK, EXTRA = 3000, 256, 16
+FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
 LEAST_COSINE, LEAST_SHARE = 0.5, 0.12
 LEAST_WORDS = 12
 SLICE = 1_000_000
@@ -240,6 +240,7 @@ def latent_base(pages: DataFrame, items: Items, idf: np.ndarray, n_pages: int, r
     base = np.linalg.qr(rng.standard_normal((items.n_terms, width)))[0].astype(np.float32)
     rate = min(1.0, FIT_PAGES / max(1, n_pages))
     sample = pages.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000)).select("letters")
+    sample = cut(sample.repartition(FIT_TASKS), "fit")  # bounded, so the partial products are too
     row = np.repeat(np.arange(len(items.terms)), [len(t) for t in items.terms])
     col = np.concatenate(items.terms) if items.terms else np.zeros(0, np.int64)
     ok = keep[col]
