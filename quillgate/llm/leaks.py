@@ -42,7 +42,7 @@ GRAM, BLOCK = 5, 250
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
 MAX_DF = 0.005
 FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
-LEAST_COSINE, LEAST_SHARE = 0.5, 0.12
+LEAST_COSINE, LEAST_SHARE = 0.55, 0.2
 LEAST_WORDS = 12
 SLICE = 1_000_000
 
