@@ -139,14 +139,10 @@ def columns(sets: DataFrame) -> DataFrame:
 
 def labels(cols: DataFrame) -> DataFrame:
     """Flat labels of :func:`columns`: rec_id, dataset_urn, column, kind, label."""
-    kinds = F.flatten(
-        F.array(
-            *[
-                F.transform(F.col(k), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("label")))
-                for k in ("tags", "editable_tags", "terms")
-            ]
-        )
-    )
+    def of(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+
+    kinds = F.flatten(F.array(*[of(k) for k in ("tags", "editable_tags", "terms")]))
     return cols.select("rec_id", "dataset_urn", F.col("name").alias("column"), F.explode(kinds).alias("l")).select(
         "rec_id", "dataset_urn", "column", "l.kind", "l.label"
     )
