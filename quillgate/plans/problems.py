@@ -238,6 +238,20 @@ f AS (SELECT principal, min(at_us) AS start_us, max(at_us) AS end_us, count(*) A
 SQL["p7_found"] = _SESSIONS + "SELECT * FROM f"
 SQL["p7_lengths"] = _SESSIONS + "SELECT principal, count(*) AS n_sessions, sum(n_requests)::BIGINT AS n_requests, max(end_us - start_us) AS longest_us FROM f GROUP BY principal"
 
+SQL["p4_open_versions"] = f"""
+SELECT attribute, urn, max(CASE WHEN valid_to_us = -1 THEN fact_value END) AS fact_value, count(*) AS n_versions FROM ({SQL["p4_found"]}) GROUP BY 1, 2
+"""
+SQL["p6_intervals"] = SQL["p6_found"].split("SELECT z.snap_id")[0] + """,
+v AS (SELECT source_url, urn, seq, CASE WHEN lag(seq) OVER w = seq - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END f FROM o WINDOW w AS (PARTITION BY source_url, urn ORDER BY seq))
+SELECT source_url AS source, urn AS key, sum(f)::BIGINT AS n_intervals, count(*) AS n_seen, min(seq) AS first_seq, max(seq) AS last_seq FROM v GROUP BY 1, 2
+"""
+SQL["p1_edges"] = """
+WITH s AS (SELECT snap_id, payload::JSON p FROM snapshots WHERE json_valid(payload)),
+e AS (SELECT snap_id, 'lineage' g, json_extract(p, '$.lineage') m FROM s UNION ALL SELECT snap_id, 'column_lineage', json_extract(p, '$.column_lineage') FROM s),
+k AS (SELECT snap_id, g, k, json_extract(m, '$."' || k || '"') v FROM (SELECT snap_id, g, m, unnest(json_keys(m)) k FROM e WHERE json_type(m) = 'OBJECT')),
+x AS (SELECT snap_id, g, k, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END) o, generate_subscripts(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END, 1) - 1 i FROM k)
+SELECT snap_id AS rec_id, g AS graph, k AS urn, o->>'$' AS other, i AS ord FROM x WHERE json_type(o) = 'VARCHAR'
+"""
 SQL["p7_streamed"] = SQL["p7_found"]
 
 QUERIES = {f.__name__: f for f in (
