@@ -45,6 +45,7 @@ FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
 LEAST_COSINE, LEAST_SHARE = 0.55, 0.2
 LEAST_WORDS = 12
 SLICE = 1_000_000
+LONG_PAGE = 20_000
 
 # Digits and signs that scanners give for letters.
 LOOK_ALIKES = {"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "|": "l", "!": "l", "ß": "s", "ſ": "s", "æ": "a", "œ": "o", "ø": "o"}
@@ -168,7 +169,7 @@ def streams(documents: DataFrame, fold: np.ndarray) -> DataFrame:
                 data = codes.tobytes()
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[a:z], "letters": [data[i:j] for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]})
 
-    return cut(documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, letters binary"), "letters")
+    return cut(documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id bigint, letters binary"), "letters")
 
 
 def frequencies(pages: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
@@ -292,6 +293,14 @@ def latent_base(pages: DataFrame, items: Items, idf: np.ndarray, n_pages: int, r
     return base[:, order[:rank]]
 
 
+def _windows(places: list[int], size: int) -> set[tuple[int, int]]:
+    """Stretches of a page to check for hits at ``places``: the page, or windows of a very long one."""
+    if size <= LONG_PAGE:
+        return {(0, size)}
+    half = LONG_PAGE // 2
+    return {(max(0, k * half - half // 2), min(size, k * half + half + half // 2)) for k in {p // half for p in places}}
+
+
 def _lcs(a: list[int], b: list[int]) -> int:
     row = [0] * (len(b) + 1)
     for x in a:
@@ -462,14 +471,20 @@ def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: n
                 x[joined] += x[joined + 1].copy()
                 size = np.maximum(np.linalg.norm(x, axis=1), 1e-6)
                 hits: dict[tuple[int, int], float] = {}
+                places: dict[tuple[int, int], list[int]] = {}
                 for s in range(0, total, 2048):
                     dot = x[s : s + 2048] @ unit.T
                     cos = dot / size[s : s + 2048, None]
                     for p, q in zip(*np.nonzero((cos >= cosine) & (dot >= share * lengths))):
                         k = (int(owner[s + p]), int(q))
                         hits[k] = max(hits.get(k, 0.0), float(cos[p, q]))
+                        places.setdefault(k, []).append(int(s + p - first[owner[s + p]]) * BLOCK)
                 if hits:
-                    out = [(docs[i + d], ids[q], c, longest_word_run(letters[q], np.frombuffer(rows[i + d], dtype=np.uint8))) for (d, q), c in hits.items()]
+                    out = []
+                    for (d, q), c in hits.items():
+                        page = np.frombuffer(rows[i + d], dtype=np.uint8)
+                        runs = [longest_word_run(letters[q], page[a:z]) for a, z in _windows(places[d, q], len(page))]
+                        out.append((docs[i + d], ids[q], c, max(runs)))
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "n_words"])
 
     return pages.mapInPandas(run, "doc_id bigint, item_id bigint, cosine double, n_words bigint")
@@ -478,13 +493,14 @@ def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: n
 def search(documents: DataFrame, eval_items: DataFrame, cosine: float = LEAST_COSINE, share: float = LEAST_SHARE, rank: int = RANK) -> DataFrame:
     """doc_id, item_id, cosine, n_words of all candidate pairs.
 
-    Null and empty texts on either side hold nothing; a page given twice is
-    reported twice. The evaluation set goes to the driver and the tasks; it is
+    Null and empty texts on either side hold nothing, rows without an id are
+    left out; a page given twice is reported twice. A page of more than
+    LONG_PAGE letters is checked in overlapping windows around all its hits. The evaluation set goes to the driver and the tasks; it is
     refused beyond MAX_ITEMS.
     """
     spark = documents.sparkSession
     fold = fold_table()
-    items = Items(eval_items.select("item_id", "text").limit(MAX_ITEMS + 1).collect(), fold)
+    items = Items(eval_items.select("item_id", "text").where("item_id IS NOT NULL").limit(MAX_ITEMS + 1).collect(), fold)
     none = spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, n_words bigint")
     if not items.n_terms:
         return none

@@ -41,7 +41,7 @@ def _pattern() -> str:
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens of the whole text; a null text has none."""
+    """doc_id, source, n_tokens of the whole text; a null text has none, rows without doc_id are left out."""
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     pattern = pattern or _pattern()
@@ -56,7 +56,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
             n = [len(encoder.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": n})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    return documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
 
 
 def split_quotas(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -124,7 +124,7 @@ def mix(pages: DataFrame, targets: DataFrame, total: float | None = None, shards
     ``pages`` is (doc_id, source, n_tokens). Pages of sources without a target
     are not used.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, pages.select("doc_id", "source", "n_tokens")
     _, quota = plan(statistics(pages, targets).collect(), total)  # a row per target
     schema = "shard int, place bigint, source string, doc_id bigint, copy int, n_tokens bigint"
     if not quota:

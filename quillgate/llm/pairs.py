@@ -34,7 +34,7 @@ PAIRS = "origin string, dataset string, a string, b string, n bigint"
 def baskets(audit: DataFrame) -> DataFrame:
     """origin, dataset, record, items: the columns read or judged together.
 
-    Rows of one request_id are one record (without one, a row is its own).
+    Rows of one request_id are one record (without one, a line is its own).
     Names in lower case, each once; null and empty names and subjects without
     a column are left out.
     """
@@ -53,7 +53,7 @@ def baskets(audit: DataFrame) -> DataFrame:
         ),
     )
     flat = audit.select(record, F.explode(F.concat(F.flatten(read), judged)).alias("x")).select("record", "x.*")
-    flat = flat.where("item IS NOT NULL AND item <> '' AND dataset IS NOT NULL")
+    flat = flat.where("item IS NOT NULL AND item <> '' AND dataset IS NOT NULL AND record IS NOT NULL")
     return flat.groupBy(*SET, "record").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 

@@ -77,7 +77,26 @@ f AS (SELECT p.origin, p.dataset, column_a, column_b, n_ab, x.n n_a, y.n n_b, n_
   JOIN i y ON y.origin = p.origin AND y.dataset = p.dataset AND y.item = column_b)
 """
 
+_FORMS = """
+WITH raw AS (
+  SELECT 'original_sql' origin, 0::BIGINT rec_id, line_no no, original_sql s FROM audit WHERE original_sql IS NOT NULL
+  UNION ALL SELECT 'by_sql', usage_id, i - 1, x.stmt FROM (SELECT usage_id, unnest(by_sql) x, generate_subscripts(by_sql, 1) i FROM day_usage) WHERE x.stmt IS NOT NULL),
+a AS (SELECT origin, rec_id, no, regexp_replace(array_to_string(list_transform(string_split(s, chr(39)), lambda x, i: CASE WHEN i % 2 = 1 THEN trim(
+  regexp_replace(regexp_replace(regexp_replace(lower(x), '["`]', '', 'g'), '\\s+', ' ', 'g'), ' ?([^\\w\\s]) ?', '\\1', 'g')) ELSE x END), chr(39)), '[; ]+$', '') t FROM raw),
+b AS (SELECT *, regexp_extract(t, '^select (?:distinct )?(.*?)\\bfrom\\b', 1) items FROM a),
+c AS (SELECT origin, rec_id, no, CASE WHEN items = '' THEN t ELSE replace(t, items, '#' || array_to_string(list_sort(list_transform(string_split(items, ','), lambda z: trim(z))), ',') || '#') END form FROM b),
+g AS (SELECT origin, rec_id, form, min(no) first_no, count(*) n FROM c GROUP BY ALL)
+"""
+
 SQL = {
+    "p2_found": _FORMS + "SELECT origin, rec_id, first_no, no AS copy_no FROM c JOIN g USING (origin, rec_id, form) WHERE no <> first_no",
+    "p2_records": _FORMS + "SELECT origin, rec_id, first_no, n AS n_copies FROM g",
+    "p10_found": """
+WITH w AS (SELECT doc_id, i, hash(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM w SEMI JOIN m USING (h))
+SELECT doc_id, sum(least(200, coalesce(i - p, 200)))::BIGINT AS shared_chars FROM s GROUP BY doc_id
+""",
     "p3_found": _PAIRS + "SELECT origin, dataset, column_a, column_b FROM f WHERE n_ab * n_records >= 2 * n_a * n_b",
     "p3_scores": _PAIRS + "SELECT * FROM f",
 }
