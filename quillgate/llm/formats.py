@@ -55,6 +55,8 @@ def _wordy(t: str) -> bool:
 def _join(parts: list[str]) -> str:
     out: list[str] = []
     for p in parts:
+        if not p:
+            continue
         if out and _wordy(out[-1]) and (p[0].isalnum() or p[0] == "_"):
             out.append(" ")
         out.append(p)

@@ -40,9 +40,9 @@ from quillgate.session import cut
 
 GRAM, BLOCK = 5, 250
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
-MAX_DF = 0.005
+MAX_DF, FLOOR_DF, OWN_TERMS = 0.005, 50, 32
 FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
-LEAST_COSINE, LEAST_SHARE = 0.55, 0.2
+LEAST_COSINE, LEAST_SHARE = 0.4, 0.2
 LEAST_WORDS = 12
 SLICE = 1_000_000
 LONG_PAGE = 20_000
@@ -199,6 +199,14 @@ def frequencies(pages: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
     return df, total.get(-1, 0), total.get(-2, 0)
 
 
+def weights(items: Items, df: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Inverse document frequency of every term, 0 for stop terms."""
+    keep = df <= max(FLOOR_DF, MAX_DF * n_blocks)
+    for t in items.terms:
+        keep[t[np.argsort(df[t], kind="stable")[:OWN_TERMS]]] = True
+    return np.where(keep, np.log((2 + n_blocks) / (1 + df)), 0).astype(np.float32)
+
+
 def _product(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
     """Sparse (row-sorted) times dense, in bounded pieces."""
     out = np.zeros((n_rows, x.shape[1]), dtype=np.float32)
@@ -508,8 +516,7 @@ def search(documents: DataFrame, eval_items: DataFrame, cosine: float = LEAST_CO
     df, n_blocks, n_pages = frequencies(pages, items)
     if not n_blocks:
         return none
-    bound = max(2, MAX_DF * n_blocks)
-    idf = np.where(df <= bound, np.log((1 + n_blocks) / (1 + df)), 0).astype(np.float32)
+    idf = weights(items, df, n_blocks)
     base = latent_base(pages, items, idf, n_pages, rank)
     return candidates_and_runs(pages, items, idf, base, cosine, share)
 
