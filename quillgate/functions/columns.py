@@ -48,7 +48,7 @@ def instant_us(c: Column) -> Column:
     zoned = t.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")
     text = F.when(zoned, t).otherwise(F.concat(t, F.lit("Z")))
     return (
-        F.when(t.rlike(r"^\d{1,16}$"), t.try_cast("bigint") * 1000)
+        F.when(t.rlike(r"^\d{1,15}$"), t.try_cast("bigint") * 1000)
         .when(iso, F.unix_micros(text.try_cast("timestamp")))
         .otherwise(F.lit(None).cast("bigint"))
     )

@@ -220,3 +220,12 @@ def found(snapshots: DataFrame, audit: DataFrame) -> DataFrame:
         F.lit("").alias("leaf"),
     )
     return label_rows.unionByName(verdict_rows).unionByName(read_rows)
+
+
+def content_hashes(hashed: DataFrame) -> DataFrame:
+    """rec_id, content: one hash of all data sets of a record, whatever their order.
+
+    ``hashed`` is (rec_id, urn, row_hash); a record's list is bounded by its payload.
+    """
+    parts = F.array_sort(F.collect_list(F.concat_ws(" ", "urn", "row_hash")))
+    return hashed.groupBy("rec_id").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("content"))

@@ -185,3 +185,16 @@ def rule_diff(old: list[Rule], new: list[Rule]) -> list[str]:
     """'+id', '-id' and '~id' lines between two rule lists."""
     a, b = {r.id: r for r in old}, {r.id: r for r in new}
     return [f"+{k}" for k in b if k not in a] + [f"-{k}" for k in a if k not in b] + [f"~{k}" for k in b if k in a and a[k] != b[k]]
+
+
+def certified_by_label(datasets: DataFrame) -> DataFrame:
+    """urn of data sets with a tag or term whose name contains "certified"."""
+    hit = lambda c: F.exists(c, lambda x: x.contains("certified"))
+    return datasets.where(hit("tags") | hit("terms")).select("urn", "name")
+
+
+def described(outcomes: DataFrame, datasets: DataFrame, scopes: list[Scope]) -> DataFrame:
+    """principal, dataset_urn, column, data_type, policy: columns of visible data sets only."""
+    policy = F.when(F.col("action") == "mask", F.concat(F.lit("mask:"), F.coalesce("strategy", F.lit("auto")))).otherwise(F.col("action"))
+    seen = visible(datasets, scopes).select("principal", F.col("urn").alias("dataset_urn"))
+    return outcomes.join(seen, "dataset_urn").select("principal", "dataset_urn", "column", "data_type", policy.alias("policy"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.operators import coverage, policy, usage
+from quillgate.operators import coverage, decide, nested, policy, snapshot_diff, usage
 from quillgate.operators.policy import Rule, Scope
 from quillgate.sources.tables import table
 from quillgate.streaming import incremental
@@ -132,6 +132,31 @@ def audit_replay(spark: SparkSession, d: str) -> DataFrame:
     return usage.replay(table(spark, d, "audit"), _outcomes(spark, d))
 
 
+def decision_grid(spark: SparkSession, d: str) -> DataFrame:
+    return decide.grid(_outcomes(spark, d))
+
+
+def audit_decided(spark: SparkSession, d: str) -> DataFrame:
+    reads = usage.reads_by_day(table(spark, d, "audit")).select("dataset_urn", F.explode("columns").alias("column"))
+    return decide.decided_reads(reads, _outcomes(spark, d))
+
+
+def describe_table(spark: SparkSession, d: str) -> DataFrame:
+    return policy.described(_outcomes(spark, d), _sets(spark, d), SCOPES)
+
+
+def certified_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return policy.certified_by_label(_sets(spark, d))
+
+
+def snapshot_content(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots whose content is equal though their recorded hashes may differ: size of each group."""
+    snaps = table(spark, d, "snapshots")
+    rows = nested.datasets(snaps).select("rec_id", "urn", snapshot_diff.dataset_hash().alias("row_hash"))
+    named = nested.content_hashes(rows).join(snaps.select(F.col("snap_id").alias("rec_id"), "hash"), "rec_id")
+    return named.groupBy("content").agg(F.min("rec_id").alias("first_snap"), F.count("*").alias("n_snapshots"), F.countDistinct("hash").alias("n_hashes")).drop("content")
+
+
 _CATALOG = """
 ds AS (
   SELECT urn, platform, name, env, coalesce(upper(trim(lifecycle)), '') lifecycle, coalesce(upper(trim(certification)), '') certification,
@@ -231,6 +256,20 @@ SQL = {
       SELECT dataset_urn, action, count(*) AS n_reads, count(DISTINCT line_no) AS n_requests FROM y GROUP BY 1, 2""",
 }
 SQL["usage_streamed"] = SQL["usage_daily"]
+_EFFECT = """CASE WHEN action = 'deny' AND ctx = 'projection' AND NOT agg THEN (CASE WHEN source IS NULL THEN 120 ELSE 122 END, 'deny_column')
+  WHEN action = 'deny' AND agg THEN (121, 'deny_statement') WHEN action = 'deny' THEN (120, 'deny_statement') WHEN ctx = 'predicate' THEN (130, 'deny_statement')
+  WHEN ctx = 'order_by' THEN (111, 'note') WHEN source IS NOT NULL THEN (113, 'mask') ELSE (110, 'mask') END"""
+SQL["decision_grid"] = _C + f""", gr AS (SELECT *, {_EFFECT} e FROM outc, (SELECT unnest(['projection', 'predicate', 'group_by', 'order_by']) ctx), (SELECT unnest([true, false]) agg) WHERE action IN ('mask', 'deny'))
+  SELECT urn, ctx AS context, agg AS in_aggregate, e[1]::INT AS code, e[2] AS effect FROM gr"""
+SQL["audit_decided"] = _C + ", " + _REQUESTS.lstrip().removeprefix("WITH ") + """, x AS (SELECT dataset_urn, unnest(cols) col FROM rd),
+  y AS (SELECT x.dataset_urn, CASE WHEN o.action IS NULL THEN 409 WHEN action = 'allow' THEN 0 WHEN action = 'deny' THEN (CASE WHEN source IS NULL THEN 120 ELSE 122 END) ELSE (CASE WHEN source IS NULL THEN 110 ELSE 113 END) END code,
+    CASE WHEN o.action IS NULL THEN 'error' WHEN action = 'allow' THEN 'allow' WHEN action = 'deny' THEN 'deny_column' ELSE 'mask' END effect
+    FROM x LEFT JOIN outc o ON o.dataset_urn = x.dataset_urn AND lower(o.col) = x.col)
+  SELECT dataset_urn, code::INT AS code, effect, count(*) AS n_reads FROM y GROUP BY ALL"""
+SQL["describe_table"] = _C + ", vis AS (" + SQL["visible_tables"].removeprefix(_C) + """)
+  SELECT principal, dataset_urn, col AS "column", data_type, CASE action WHEN 'mask' THEN 'mask:' || CASE rule_id WHEN 'pii-default' THEN 'auto' WHEN 'contact-mask' THEN 'partial' ELSE 'hash' END ELSE action END AS policy
+  FROM outc JOIN vis ON vis.urn = outc.dataset_urn"""
+SQL["certified_by_label"] = _C + "SELECT urn, name FROM ds WHERE len(list_filter(list_concat(tags, terms), lambda x: contains(x, 'certified'))) > 0"
 SQL["denied_attempts"] = "SELECT dataset_urn, n_requests, denied_attempts, last_line, nullif(lp, chr(0)) AS last_principal, last_snapshot FROM (" + SQL["denied_attempts"] + ")"
 SQL["substitute_pick"] = _C + ", " + _REQUESTS.lstrip().removeprefix("WITH ") + """,
   w AS (SELECT DISTINCT dataset_urn urn, unnest(cols) c FROM rd), s AS (SELECT l.src_urn urn, l.dst_urn sub, min(l.ord) ord FROM lineage l JOIN ds o ON o.urn = l.src_urn AND o.lifecycle = 'DEPRECATED'
@@ -242,4 +281,5 @@ SQL["substitute_pick"] = _C + ", " + _REQUESTS.lstrip().removeprefix("WITH ") +
 QUERIES = {f.__name__: f for f in (
     column_outcomes, coverage_summary, coverage_gaps, proposals, dead_rules, unowned, unreachable, orphan_deprecated, visible_tables, certified_substitutes,
     substitute_pick, name_index, usage_daily, usage_streamed, usage_by_principal, usage_by_column, top_sql, denied_attempts, ledger_recent, explain_last, usage_read_back, audit_replay,
+    decision_grid, audit_decided, describe_table, certified_by_label, snapshot_content,
 )}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgate.functions import masks
-from quillgate.operators import coverage, policy, usage
+from quillgate.operators import coverage, decide, policy, usage
 from quillgate.operators.policy import Rule, Scope
 from quillgate.sources import audit_log, catalog_file, snapshot_store, warehouse
 
@@ -135,3 +135,31 @@ def test_dbapi_source(spark, tmp_path):
     assert sorted(r.name for r in df.collect()) == sorted(f"n{i}" for i in range(25))
     with pytest.raises(ValueError):
         warehouse.read(spark, "papyrus")
+
+
+@pytest.mark.parametrize(
+    "action, inherited, context, in_aggregate, want",
+    [
+        ("mask", False, "projection", False, (110, "mask")), ("mask", True, "projection", True, (113, "mask")), ("mask", False, "group_by", True, (110, "mask")),
+        ("mask", True, "predicate", False, (130, "deny_statement")), ("mask", False, "order_by", False, (111, "note")),
+        ("deny", False, "projection", False, (120, "deny_column")), ("deny", True, "projection", False, (122, "deny_column")), ("deny", True, "projection", True, (121, "deny_statement")),
+        ("deny", False, "predicate", False, (120, "deny_statement")), ("deny", False, "group_by", True, (121, "deny_statement")), ("allow", False, "predicate", True, None),
+    ],
+)
+def test_decision_of_a_use(spark, action, inherited, context, in_aggregate, want):
+    df = spark.createDataFrame([(action, inherited, context, in_aggregate)], "a string, i boolean, c string, g boolean")
+    got = df.select(decide.verdict(F.col("a"), F.col("i"), F.col("c"), F.col("g")).alias("v")).first().v
+    assert (tuple(got) if got else None) == want
+    if want == (130, "deny_statement"):
+        assert df.select(decide.verdict(F.col("a"), F.col("i"), F.col("c"), F.col("g"), True).alias("v")).first().v.effect == "note"
+
+
+def test_run_caps_and_stops(spark):
+    from quillgate.plans import run
+
+    r = run.run(spark.range(20), row_limit=5)
+    assert len(r.rows) == 5 and r.truncated and not run.run(spark.range(5), row_limit=5).truncated
+    assert run.plain(b"\x01") == "01" and run.plain([1]) == "[1]"
+    slow = spark.range(0, 10**12, 1, 4).selectExpr("max(hash(id, id)) m")
+    with pytest.raises(run.TimedOut):
+        run.run(slow, seconds=1.5)
