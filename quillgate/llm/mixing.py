@@ -31,7 +31,7 @@ from quillgate.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_PAGES, SHARDS, SEED = 64, 16, 2024
-_RANGE = 1 << 40
+_RANGE = 1 << 32
 
 
 def _pattern() -> str:
