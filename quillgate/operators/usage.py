@@ -58,7 +58,8 @@ def top_sql(audit: DataFrame, top: int = TOP_SQL) -> DataFrame:
     """The most frequent statements of each data set and day; ties go to the one seen first."""
     counted = reads_by_day(audit).where("statement IS NOT NULL").groupBy("dataset_urn", "bucket_ms", "statement").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
     place = F.row_number().over(Window.partitionBy("dataset_urn", "bucket_ms").orderBy(F.desc("n"), "first_line"))
-    return counted.withColumn("place", place.cast("bigint")).where(F.col("place") <= top).select("dataset_urn", "bucket_ms", "place", "statement", "n")
+    best = counted.withColumn("place", place).where(F.col("place") <= top)
+    return best.select("dataset_urn", "bucket_ms", F.col("place").cast("bigint").alias("place"), "statement", "n")
 
 
 def dataset_ledger(audit: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def recent(audit: DataFrame, keep: int = LEDGER) -> DataFrame:
     """
     flat = requests(audit).select("line_no", F.explode("dataset_urns").alias("dataset_urn"))
     place = F.row_number().over(Window.partitionBy("dataset_urn").orderBy(F.desc("line_no")))
-    return flat.withColumn("place", place.cast("bigint")).where(F.col("place") <= keep).select("dataset_urn", "place", "line_no")
+    return flat.withColumn("place", place).where(F.col("place") <= keep).select("dataset_urn", F.col("place").cast("bigint").alias("place"), "line_no")
 
 
 def last_lines(audit: DataFrame) -> DataFrame:
