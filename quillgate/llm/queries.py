@@ -92,7 +92,7 @@ SQL = {
     "p2_found": _FORMS + "SELECT origin, rec_id, first_no, no AS copy_no FROM c JOIN g USING (origin, rec_id, form) WHERE no <> first_no",
     "p2_records": _FORMS + "SELECT origin, rec_id, first_no, n AS n_copies FROM g",
     "p10_found": """
-WITH w AS (SELECT doc_id, i, hash(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
 m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
 s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM w SEMI JOIN m USING (h))
 SELECT doc_id, sum(least(200, coalesce(i - p, 200)))::BIGINT AS shared_chars FROM s GROUP BY doc_id
