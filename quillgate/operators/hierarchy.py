@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgate.operators.skew import join_groups
 from quillgate.session import cut
 
 ROWS_PER_TASK = 500_000
@@ -127,8 +128,9 @@ def _solve(rows: DataFrame, level: int, rows_per_task: int) -> DataFrame:
     )
     if parts == 1:
         return ended
-    opened = done.where(F.col("state") == OPEN)
-    needed = opened.select(F.col("up").alias("node")).distinct()
+    opened = done.where(F.col("state") == OPEN).select("frag", "node", "up", "steps", "link")
+    crowds = opened.groupBy("up").agg(F.count("*").alias("_n"))
+    needed = crowds.select(F.col("up").alias("node"))
     # The quotient: a needed node stands with its own contracted link; ended ones are roots of it.
     quotient = (
         done.join(needed, "node", "left_semi")
@@ -149,7 +151,8 @@ def _solve(rows: DataFrame, level: int, rows_per_task: int) -> DataFrame:
     )
     solved = cut(solved, f"solved{level}")
     exits = solved.select(F.col("node").alias("up"), "root", F.col("depth").alias("_d"), F.col("state").alias("_s"))
-    through = opened.join(exits, "up")
+    exits = cut(exits.join(crowds, "up"), f"exits{level}")
+    through = join_groups(opened, exits, ["up"], "_n", n)
     marks = _marks(through, solved)
     rest = through.join(marks, "node", "left").select(
         "node",

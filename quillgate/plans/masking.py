@@ -63,7 +63,7 @@ STATEMENTS = {
     "deny_column_null": "SELECT c_custkey, c_acctbal FROM gv_customer",
     "star_expand": "SELECT * FROM gv_customer",
     "star_through_cte": "WITH t AS (SELECT * FROM gv_supplier) SELECT * FROM t",
-    "subquery_mask": "SELECT x.n, x.k FROM (SELECT c_name AS n, c_custkey AS k FROM gv_customer) x WHERE x.k > 100",
+    "subquery_mask": "SELECT x.n, x.k FROM (SELECT c_name AS n, c_custkey AS k, c_mktsegment AS s FROM gv_customer) x WHERE x.s <> 'BUILDING'",
     "hash_group_by": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_types FROM gv_events GROUP BY user_id",
     "hash_count_distinct": "SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT event_type) AS n_types FROM gv_events",
     "order_by_masked": "SELECT c_name, c_custkey FROM gv_customer ORDER BY c_name, c_custkey LIMIT 20",
