@@ -9,7 +9,7 @@ check: it is part of the grouping key, so two forms that shared 128 bits would
 still be kept apart, and :func:`collisions` counts such cases.
 
 Groups with very many copies join back through a broadcast of at most
-``MAX_HEAVY`` rows; all others through a shuffle on the hash.
+1000 rows; all others through a shuffle on the hash.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgate.operators.skew import join_groups
 from quillgate.session import cut
 
-MAX_HEAVY = 1000
 KEY = ["origin", "rec_id", "h", "c"]
 
 _TOKEN = re.compile(r"""'(?:[^']|'')*(?:'|$)|"[^"]*"|`[^`]*`|\w+|\s+|.""", re.S)
@@ -148,11 +148,5 @@ def collisions(rows: DataFrame) -> DataFrame:
 def copies(rows: DataFrame) -> DataFrame:
     """origin, rec_id, first_no, copy_no: every copy but the first of its group."""
     many = cut(groups(rows).where("n > 1"), "groups")
-    total = rows.count()
-    bound = max(1000, total // MAX_HEAVY)
-    heavy = F.broadcast(many.where(F.col("n") > bound).select(*KEY, F.col("first_no").alias("_hot")))
-    split = rows.join(heavy, KEY, "left")
-    hot = split.where("_hot IS NOT NULL").withColumnRenamed("_hot", "first_no")
-    cold = split.where("_hot IS NULL").drop("_hot").join(many.where(F.col("n") <= bound).select(*KEY, "first_no"), KEY)
-    both = hot.unionByName(cold)
+    both = join_groups(rows, many, KEY, "n", rows.count())
     return both.where("no <> first_no").select("origin", "rec_id", "first_no", F.col("no").alias("copy_no"))

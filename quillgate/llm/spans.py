@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgate.operators.skew import join_groups
 from quillgate.session import cut
 
 LEAST, GRAM, SLICE = 200, 48, 1_000_000
@@ -116,9 +117,9 @@ def anchors(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
 
 
 def _several(rows: DataFrame, *key: str) -> DataFrame:
-    """Keys that more than one page has, and the first such page."""
-    both = rows.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"))
-    return both.where("first_doc <> _last").drop("_last")
+    """Keys that more than one page has, the first such page and the number of rows."""
+    both = rows.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"), F.count("*").alias("n_rows"))
+    return cut(both.where("first_doc <> _last").drop("_last"), "several")
 
 
 def windows(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -128,7 +129,7 @@ def windows(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
     doc_id are one page.
     """
     kept = cut(anchors(documents, least, gram), "anchors")
-    near = kept.join(_several(kept, "h").select("h"), "h", "left_semi")
+    near = join_groups(kept, _several(kept, "h"), ["h"], "n_rows", kept.count())
     near = cut(near.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("pos")), "near")
     pages = documents.select("doc_id", "text").where((F.length("text") >= least) & F.col("doc_id").isNotNull())
 
@@ -151,7 +152,7 @@ def windows(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
                     yield pd.DataFrame({"h": one[x].view(np.int64), "g": two[x].view(np.int64), "doc_id": docs[i:j][g], "start": (x - bounds[g]).astype(np.int32)})
 
     rows = cut(pages.join(near, "doc_id").mapInPandas(run, "h bigint, g bigint, doc_id bigint, start int"), "windows")
-    return rows.join(_several(rows, "h", "g"), ["h", "g"]).select("doc_id", "start", "first_doc")
+    return join_groups(rows, _several(rows, "h", "g"), ["h", "g"], "n_rows", rows.count()).select("doc_id", "start", "first_doc")
 
 
 def covered(shared: DataFrame, least: int = LEAST) -> DataFrame:
