@@ -99,11 +99,11 @@ ds AS (
   SELECT snap_id, json_extract_string(n, '$.urn'), 'listed', n
   FROM (SELECT snap_id, unnest(json_extract(d, '$[*]')) n FROM t WHERE json_type(d) = 'ARRAY')),
 cols AS (
-  SELECT snap_id, urn, k AS name, json_extract(c, '$."' || k || '"') n
+  SELECT snap_id, urn, k AS name, 'keyed' lay, json_extract(c, '$."' || k || '"') n
   FROM (SELECT snap_id, urn, json_extract(n, '$.columns') c, unnest(json_keys(json_extract(n, '$.columns'))) k
         FROM ds WHERE json_type(json_extract(n, '$.columns')) = 'OBJECT')
   UNION ALL
-  SELECT snap_id, urn, json_extract_string(n, '$.name'), n
+  SELECT snap_id, urn, json_extract_string(n, '$.name'), 'listed', n
   FROM (SELECT snap_id, urn, unnest(json_extract(n, '$.columns[*]')) n FROM ds WHERE json_type(json_extract(n, '$.columns')) = 'ARRAY')),
 lists AS (
   SELECT snap_id, urn, name, 'tags' kind, json_extract(n, '$.tags') v FROM cols
@@ -238,6 +238,19 @@ f AS (SELECT principal, min(at_us) AS start_us, max(at_us) AS end_us, count(*) A
 SQL["p7_found"] = _SESSIONS + "SELECT * FROM f"
 SQL["p7_lengths"] = _SESSIONS + "SELECT principal, count(*) AS n_sessions, sum(n_requests)::BIGINT AS n_requests, max(end_us - start_us) AS longest_us FROM f GROUP BY principal"
 
+def _state(path: str) -> str:
+    v = f"json_extract(n, '{path}')"
+    kinds = f"list_sort(list_distinct(list_filter(list_transform(json_extract({v}, '$[*]'), lambda x: json_type(x)), lambda t: t <> 'NULL')))::VARCHAR"
+    inner = f"CASE {kinds} WHEN '[]' THEN 'empty' WHEN '[OBJECT]' THEN 'objects' WHEN '[OBJECT, VARCHAR]' THEN 'mixed' ELSE 'names' END"
+    return f"CASE WHEN {v} IS NULL THEN 'absent' WHEN json_type({v}) = 'NULL' THEN 'null' WHEN json_type({v}) = 'OBJECT' THEN 'bare_object' WHEN json_type({v}) <> 'ARRAY' THEN 'bare' ELSE {inner} END"
+
+
+SQL["p1_variants"] = f"""
+WITH {_DATASETS}
+SELECT 'column' AS level, lay || '(' || {_state('$.tags')} || ',' || {_state('$.terms')} || ',' || {_state('$.editable.tags')} || ')' AS variant, count(*) AS n FROM cols GROUP BY 2
+UNION ALL
+SELECT 'dataset', layout || '(' || CASE WHEN json_type(json_extract(n, '$.columns')) = 'ARRAY' THEN 'list' WHEN json_type(json_extract(n, '$.columns')) = 'OBJECT' THEN 'map' ELSE 'none' END || ')', count(*) FROM ds GROUP BY 2
+"""
 SQL["p4_open_versions"] = f"""
 SELECT attribute, urn, max(CASE WHEN valid_to_us = -1 THEN fact_value END) AS fact_value, count(*) AS n_versions FROM ({SQL["p4_found"]}) GROUP BY 1, 2
 """
