@@ -162,7 +162,7 @@ def edges(records: DataFrame, rec_id: str = "snap_id", payload: str = "payload")
         parsed(records, rec_id, payload)
         .select("rec_id", F.explode(both).alias("e"))
         .select("rec_id", "e.graph", "e.urn", F.posexplode("e.others").alias("ord", "other"))
-        .select("rec_id", "graph", "urn", "other", "ord")
+        .select("rec_id", "graph", "urn", "other", F.col("ord").cast("bigint").alias("ord"))
     )
 
 

@@ -91,7 +91,7 @@ STATEMENTS = {
     "substitute_join": "SELECT c.c_name, c.c_acctbal, o.o_totalprice, o.o_orderkey FROM gv_customer c JOIN gv_orders o ON o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 10",
     "lineage_inherited_mask": "SELECT c_custkey, contact FROM gv_customer_report",
     "lineage_inherited_deny": "SELECT c_custkey, balance FROM gv_customer_report",
-    "month_revenue": "SELECT o.o_orderdate, n.n_name, count(*) AS n_lines, sum(CAST(l.l_quantity AS BIGINT)) AS quantity FROM gv_lineitem l JOIN gv_orders o ON l.l_orderkey = o.o_orderkey JOIN gv_customer c ON c.c_custkey = o.o_custkey JOIN gv_nation n ON n.n_nationkey = c.c_nationkey GROUP BY o.o_orderdate, n.n_name",
+    "month_revenue": "SELECT o.o_orderdate, n.n_name, count(*) AS n_lines, CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM gv_lineitem l JOIN gv_orders o ON l.l_orderkey = o.o_orderkey JOIN gv_customer c ON c.c_custkey = o.o_custkey JOIN gv_nation n ON n.n_nationkey = c.c_nationkey GROUP BY o.o_orderdate, n.n_name",
     "raw_monitor": "SELECT c_custkey, c_name, c_acctbal FROM customer",
 }
 
