@@ -96,6 +96,14 @@ WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, te
 m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
 s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM w SEMI JOIN m USING (h))
 SELECT doc_id, sum(least(200, coalesce(i - p, 200)))::BIGINT AS shared_chars FROM s GROUP BY doc_id
+""",
+    "p10_repeated": """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT h, min(doc_id) f FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT doc_id, i, f, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p,
+  max(CASE WHEN f < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) q FROM w JOIN m USING (h))
+SELECT doc_id, sum(least(200, coalesce(i - p, 200)))::BIGINT AS shared_chars, sum(CASE WHEN f < doc_id THEN least(200, coalesce(i - q, 200)) END)::BIGINT AS repeated_chars
+FROM s GROUP BY doc_id HAVING count(CASE WHEN f < doc_id THEN 1 END) > 0
 """,
     "p3_found": _PAIRS + "SELECT origin, dataset, column_a, column_b FROM f WHERE n_ab * n_records >= 2 * n_a * n_b",
     "p3_scores": _PAIRS + "SELECT * FROM f",
