@@ -46,6 +46,7 @@ LEAST_COSINE, LEAST_SHARE = 0.4, 0.2
 LEAST_WORDS = 12
 SLICE = 1_000_000
 LONG_PAGE = 20_000
+JUMP, TURN = 4.0, 9.0
 
 # Digits and signs that scanners give for letters.
 LOOK_ALIKES = {"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "|": "l", "!": "l", "ß": "s", "ſ": "s", "æ": "a", "œ": "o", "ø": "o"}
@@ -349,12 +350,10 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
     if not len(i0):
         return 0
     i1, j1 = i0 + size, j0 + size
-    # Within six letters of a line's or column's edge.
-    edge = np.zeros(len(page) + 1, dtype=np.int64)
-    edge[np.r_[np.flatnonzero(page_codes & PIECE), len(page)]] = 1
-    seen = np.r_[0, np.cumsum(edge)]
-    spot = np.arange(len(page) + 1)
-    near = seen[np.minimum(spot + 7, len(page) + 1)] > seen[np.maximum(spot - 6, 0)]
+    # Letters from each end of a run to the edge of its line or column.
+    edges = np.unique(np.r_[0, np.flatnonzero(page_codes & PIECE), len(page)])
+    tail = edges[np.searchsorted(edges, j1)] - j1
+    head = j0 - edges[np.searchsorted(edges, j0, side="right") - 1]
     score, back = size.astype(np.float64), np.full(len(size), -1)
     for b in range(1, len(size)):
         behind = j1[b] <= j0[:b]
@@ -365,11 +364,12 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
         gi, gj = i0[b] - i1[a], j0[b] - j1[a]
         over = np.maximum(0, np.maximum(-gi, np.where(behind, 0, -gj)))
         gi, gj = gi + over, gj + over
-        off = (~near[j1[a]]).astype(np.float64) + (not near[j0[b]])
+        # What the item has between two runs should stand, misread, between them and their edges.
+        stray = np.abs(gi - tail[a] - head[b])
         misread = ~behind & (np.abs(gi - gj) <= 3) & (np.maximum(gi, gj) <= 16)
-        jump = 3 + 0.5 * gi + 0.01 * gj + 4.0 * off
+        jump = JUMP + 0.5 * gi + 0.01 * gj + np.minimum(10, 0.8 * np.maximum(0, stray - 2))
         # From the foot of a column to the head of the next, where columns were read across each other.
-        turn = np.where(off > 0, 1e9, 8 + 0.5 * gi - 0.01 * gj)
+        turn = np.where(stray > 6, 1e9, TURN + 0.5 * gi - 0.01 * gj)
         cost = np.where(misread, 0.5 * np.maximum(gi, gj), np.where(gi > 14, 1e9, np.where(behind, turn, jump)))
         v = score[a] + size[b] - over - cost
         k = int(v.argmax())
@@ -393,6 +393,10 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
     bounds = np.r_[np.flatnonzero(item_codes & WORD), len(item)]
     present = [bool((held[a:z] > 0).mean() >= 0.5) for a, z in zip(bounds, bounds[1:])]
     _grow(present, bounds, item, page, page_codes, i0[chain[0]], j0[chain[0]], i1[chain[-1]], j1[chain[-1]])
+    part = [float((held[a:z] > 0).mean()) for a, z in zip(bounds, bounds[1:])]
+    for k in range(1, len(present) - 1):  # a badly misread word between two others
+        if present[k - 1] and present[k + 1] and part[k] >= 0.3:
+            present[k] = True
     best = run = 0
     for p in present:
         run = run + 1 if p else 0
