@@ -8,14 +8,17 @@ Latent semantic retrieval over passages:
    ``BLOCK`` letters, one block apart, over the whole page.
 2. Terms are letter 5-grams that occur in the items, weighted TF-IDF with
    document frequencies counted over all passages; those in more than
-   ``MAX_DF`` of the blocks are stop terms.
+   ``MAX_DF`` of the blocks are stop terms, but of every run of
+   ``LEAST_WORDS`` words of an item the ``RUN_TERMS`` rarest keep their weight.
 3. A randomised SVD of the TF-IDF matrix gives the latent space. Partial
    products M^T(M X) are computed in the tasks and summed by an aggregate. The
    space is fitted on pages of a documented, bounded sample (``FIT_PAGES``)
    and all items; all pages are projected and searched.
-4. Each passage's cosine to each item in the latent space, and the share of
-   the item it holds there, select candidates; recall of this step against
-   the exhaustive check is measured in the tests.
+4. A page is a candidate for an item by its passages' cosine to the item in
+   the latent space, or without the latent space, if ``NEAR`` neighbouring
+   blocks hold ``LEAST_HELD`` of the weight of any run of ``LEAST_WORDS`` words
+   of it, however long the item is; recall of this step against the exhaustive
+   check is measured in the tests.
 5. A longest-common-subsequence check on each candidate page: exact runs of
    letters are chained in the order of both texts; between two runs there may
    be misread letters, or lines of other matter. The words of the item covered
@@ -40,10 +43,10 @@ from quillgate.session import cut
 
 GRAM, BLOCK = 5, 250
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
-MAX_DF, FLOOR_DF, OWN_TERMS = 0.005, 50, 32
+MAX_DF, FLOOR_DF, RUN_TERMS = 0.005, 50, 24
 FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
 LEAST_COSINE, LEAST_SHARE = 0.4, 0.2
-LEAST_WORDS = 12
+LEAST_WORDS, LEAST_HELD, NEAR = 12, 0.25, 3
 SLICE = 1_000_000
 LONG_PAGE = 20_000
 JUMP, TURN = 4.0, 9.0
@@ -150,6 +153,21 @@ class Items:
         self.n_terms = int(min(len(known), MAX_TERMS))
         self.grams, self.of_gram = known, (np.arange(len(known)) % max(1, self.n_terms)).astype(np.int32)
         self.terms = [np.unique(self.of_gram[np.searchsorted(known, g)]) for g in grams]
+        # The term at every place of every item, one item behind the other, and the places of each run of LEAST_WORDS words.
+        every = [_grams((x & LETTER).astype(np.int64)) for x in self.letters]
+        begin = np.r_[0, np.cumsum([len(g) for g in every])].astype(np.int64)
+        self.places = self.of_gram[np.searchsorted(known, np.concatenate(every))] if every else np.zeros(0, np.int32)
+        self.owner = np.repeat(np.arange(len(every)), np.diff(begin))
+        lows, highs, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(every), dtype=np.int64)
+        for q, x in enumerate(self.letters):
+            bounds = np.r_[np.flatnonzero(x & WORD), len(x)]
+            if len(bounds) > LEAST_WORDS:
+                lo = bounds[:-LEAST_WORDS]
+                lows.append(begin[q] + lo)
+                highs.append(begin[q] + np.maximum(lo, bounds[LEAST_WORDS:] - GRAM + 1))
+                count[q] = len(lo)
+        self.low, self.high = np.concatenate(lows), np.concatenate(highs)
+        self.first_run = np.r_[0, np.cumsum(count)]
 
     def look(self, keep: np.ndarray | None = None) -> np.ndarray:
         """Term of every possible gram, -1 for none."""
@@ -203,8 +221,9 @@ def frequencies(pages: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
 def weights(items: Items, df: np.ndarray, n_blocks: int) -> np.ndarray:
     """Inverse document frequency of every term, 0 for stop terms."""
     keep = df <= max(FLOOR_DF, MAX_DF * n_blocks)
-    for t in items.terms:
-        keep[t[np.argsort(df[t], kind="stable")[:OWN_TERMS]]] = True
+    for a, z in zip(items.low, items.high):
+        t = np.unique(items.places[a:z])
+        keep[t[np.argsort(df[t], kind="stable")[:RUN_TERMS]]] = True
     return np.where(keep, np.log((2 + n_blocks) / (1 + df)), 0).astype(np.float32)
 
 
@@ -455,6 +474,48 @@ def _grow(present: list[bool], bounds: np.ndarray, item: np.ndarray, page: np.nd
                 c0 -= n
 
 
+class Holder:
+    """Which pages hold enough of some run of words of an item, by the weight of its terms."""
+
+    def __init__(self, items: Items, idf: np.ndarray, held: float = LEAST_HELD):
+        self.by = np.argsort(items.places, kind="stable")
+        self.start = np.searchsorted(items.places[self.by], np.arange(items.n_terms + 1))
+        self.owner, self.weight = items.owner, idf[items.places].astype(np.float64)
+        self.low, self.high, self.first_run = items.low, items.high, items.first_run
+        total = np.r_[0, np.cumsum(self.weight)]
+        run = total[self.high] - total[self.low]
+        self.need = np.where(run > 0, held * run, np.inf)
+        self.least = np.array([self.need[a:z].min() if z > a else np.inf for a, z in zip(self.first_run, self.first_run[1:])])
+
+    def pairs(self, block: np.ndarray, term: np.ndarray, first: np.ndarray, n_blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) where NEAR blocks from that one on hold enough; behind a page's last block comes its first again."""
+        page = np.repeat(np.arange(len(first)), n_blocks)[block]
+        near = [first[page] + (block - first[page] - k) % n_blocks[page] for k in range(NEAR)]
+        key = np.unique(np.concatenate(near) * (MAX_TERMS + 1) + np.tile(term, NEAR))
+        window, term = key // (MAX_TERMS + 1), key % (MAX_TERMS + 1)
+        n = self.start[term + 1] - self.start[term]
+        at = self.by[np.repeat(self.start[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        size = len(self.owner) + 1
+        key = np.sort(np.repeat(window, n) * size + at)
+        window, at = key // size, key % size
+        total = np.r_[0, np.cumsum(self.weight[at])]
+        heads = np.flatnonzero(np.r_[True, (np.diff(window) != 0) | (np.diff(self.owner[at]) != 0)]) if len(at) else np.zeros(0, np.int64)
+        item, of = self.owner[at[heads]], window[heads]
+        enough = np.flatnonzero(total[np.r_[heads[1:], len(at)]] - total[heads] >= self.least[item]) if len(heads) else heads
+        item, of = item[enough], of[enough]
+        runs = self.first_run[item + 1] - self.first_run[item]
+        ends, good, i = np.cumsum(runs), np.zeros(len(item), dtype=bool), 0
+        while i < len(item):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE)))
+            m = runs[i:j]
+            r = np.repeat(self.first_run[item[i:j]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            base = np.repeat(of[i:j], m) * size
+            here = total[np.searchsorted(key, base + self.high[r])] - total[np.searchsorted(key, base + self.low[r])]
+            good[i + np.unique(np.repeat(np.arange(j - i), m)[here >= self.need[r]])] = True
+            i = j
+        return of[good], item[good]
+
+
 def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: np.ndarray, cosine: float = LEAST_COSINE, share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, item_id, cosine, n_words of every candidate; n_words from the check on the whole page."""
     row = np.repeat(np.arange(len(items.terms)), [len(t) for t in items.terms])
@@ -462,10 +523,11 @@ def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: n
     ok = idf[col] > 0
     latent = _product(row[ok], col[ok], idf[col[ok]].astype(np.float32), base, len(items.terms))
     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6).astype(np.float32)
-    sent = pages.sparkSession.sparkContext.broadcast((items.ids, items.letters, items.grams, items.of_gram, idf, base * idf[:, None].astype(np.float32), latent / norm[:, None], norm))
+    least = share * norm
+    sent = pages.sparkSession.sparkContext.broadcast((items.ids, items.letters, items.grams, items.of_gram, idf, base * idf[:, None].astype(np.float32), latent / norm[:, None], least, Holder(items, idf)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, letters, grams, of_gram, weights, to_latent, unit, lengths = sent.value
+        ids, letters, grams, of_gram, weights, to_latent, unit, least, holder = sent.value
         look = np.full(1 << (5 * GRAM), -1, dtype=np.int32)
         good = weights[of_gram] > 0
         look[grams[good]] = of_gram[good]
@@ -487,10 +549,17 @@ def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: n
                 for s in range(0, total, 2048):
                     dot = x[s : s + 2048] @ unit.T
                     cos = dot / size[s : s + 2048, None]
-                    for p, q in zip(*np.nonzero((cos >= cosine) & (dot >= share * lengths))):
+                    for p, q in zip(*np.nonzero((cos >= cosine) & (dot >= least))):
                         k = (int(owner[s + p]), int(q))
                         hits[k] = max(hits.get(k, 0.0), float(cos[p, q]))
                         places.setdefault(k, []).append(int(s + p - first[owner[s + p]]) * BLOCK)
+                near, held = holder.pairs(block, term, first, n_blocks)
+                for p, q in zip(near.tolist(), held.tolist()):
+                    k = (int(owner[p]), q)
+                    if k not in hits:
+                        dot = x[p : p + NEAR] @ unit[q]
+                        hits[k] = float((dot / size[p : p + NEAR]).max())
+                    places.setdefault(k, []).append(int(p - first[k[0]]) * BLOCK)
                 if hits:
                     out = []
                     for (d, q), c in hits.items():
