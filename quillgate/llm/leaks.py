@@ -45,7 +45,7 @@ GRAM, BLOCK = 5, 250
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
 MAX_DF, FLOOR_DF, RUN_TERMS = 0.005, 50, 24
 FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
-LEAST_COSINE, LEAST_SHARE = 0.4, 0.2
+LEAST_COSINE, LEAST_SHARE = 0.4, 0.4
 LEAST_WORDS, LEAST_HELD, NEAR = 12, 0.25, 3
 SLICE = 1_000_000
 LONG_PAGE = 20_000
@@ -474,6 +474,13 @@ def _grow(present: list[bool], bounds: np.ndarray, item: np.ndarray, page: np.nd
                 c0 -= n
 
 
+def lightest(items: Items, weight: np.ndarray) -> np.ndarray:
+    """Weight of the lightest run of LEAST_WORDS words of every item; infinite where it has none."""
+    total = np.r_[0, np.cumsum(weight[items.places].astype(np.float64))]
+    run = total[items.high] - total[items.low]
+    return np.array([run[a:z].min() if z > a else np.inf for a, z in zip(items.first_run, items.first_run[1:])])
+
+
 class Holder:
     """Which pages hold enough of some run of words of an item, by the weight of its terms."""
 
@@ -523,7 +530,8 @@ def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: n
     ok = idf[col] > 0
     latent = _product(row[ok], col[ok], idf[col[ok]].astype(np.float32), base, len(items.terms))
     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6).astype(np.float32)
-    least = share * norm
+    # Least product with an item: of its lightest run of words, not of the whole item.
+    least = (share * lightest(items, idf * idf) / norm).astype(np.float32)
     sent = pages.sparkSession.sparkContext.broadcast((items.ids, items.letters, items.grams, items.of_gram, idf, base * idf[:, None].astype(np.float32), latent / norm[:, None], least, Holder(items, idf)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

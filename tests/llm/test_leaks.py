@@ -112,3 +112,38 @@ def test_part_of_an_item_on_a_third_of_all_pages(spark, corpus):
     leaked = [(d, noisy(rng, part, 0.03) + "\n" + t if d % 3 == 0 else t, "x", 1) for d, t, _, _ in pages]
     got = {r.doc_id for r in leaks.found(spark.createDataFrame(leaked, DOCS), spark.createDataFrame([*items, (99, " ".join(text), "a")], ITEMS)).where("item_id = 99").collect()}
     assert len({d for d in range(0, 300, 3)} - got) <= 2 and all(d % 3 == 0 for d in got)
+
+
+@pytest.fixture(scope="module")
+def long_corpus():
+    """Pages with 12 words of items of 20 to 160 words, 300 items: clean, poorly scanned, in the lines of another column, or both."""
+    rng = random.Random(11)
+    common = [word(rng) for _ in range(400)]
+    other = lambda: "".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(rng.choice([2, 3, 3])))
+    items = [[rng.choice(common) if rng.random() < 0.1 else other() for _ in range(rng.choice([20, 60, 110, 160]))] for _ in range(300)]
+    pages, kind = [], {}
+    for d in range(120):
+        body = lines([rng.choice(common) for _ in range(200)])
+        i, how = rng.randrange(300), ("clean", "poor", "interleaved", "both")[d % 4]
+        start = rng.randrange(len(items[i]) - 11)
+        part = lines(items[i][start : start + 12], 3)
+        if how in ("poor", "both"):
+            part = [noisy(rng, x, 0.15) for x in part]
+        at = rng.randrange(len(body) - 20)
+        body[at:at] = [y for x, z in zip(part, body) for y in (x, z)] if how in ("interleaved", "both") else part
+        pages.append((d, "\n".join(body), "x", 1))
+        kind[d] = (i, how)
+    return pages, [(i, " ".join(w), "a") for i, w in enumerate(items)], kind
+
+
+def test_twelve_words_of_long_items(spark, long_corpus):
+    """The search offers every pair that the exhaustive check accepts, whatever the item's length and the scan."""
+    pages, items, kind = long_corpus
+    fold = leaks.fold_table()
+    letters = lambda t: leaks.letter_stream([t], fold)[0]
+    of_item = {i: letters(t) for i, t, _ in items}
+    true = {(d, kind[d][0]) for d, t, _, _ in pages if leaks.longest_word_run(of_item[kind[d][0]], letters(t)) >= leaks.LEAST_WORDS}
+    got = {tuple(r) for r in leaks.found(spark.createDataFrame(pages, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    for how in ("clean", "poor", "interleaved", "both"):
+        want = {p for p in true if kind[p[0]][1] == how}
+        assert len(want & got) >= 0.98 * len(want) > 0
