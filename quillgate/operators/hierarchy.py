@@ -11,8 +11,9 @@ One level of the solution:
    their exit (the first ancestor not in the partition), or to a root, or find
    the loop they end in.
 3. The exits are the nodes of a smaller quotient forest, solved the same way.
-   Below ``rows_per_task`` rows one partition holds all of it: that bound, a
-   parameter, is the only data ever in one task.
+   The links themselves always go to as many partitions as the session
+   shuffles to; a quotient below ``rows_per_task`` rows is solved in one: that
+   bound, a parameter, is the only data ever in one task.
 4. Expand: root and depth of a node are its exit's, plus its own steps. If an
    exit is on a loop, the fragments that lead from one loop exit to the next
    are walked once more to mark the nodes between.
@@ -106,6 +107,8 @@ def _solve(rows: DataFrame, level: int, rows_per_task: int) -> DataFrame:
     """SOLVED of (node, up, steps): state ROOT, LOOPED (leads to a loop) or ON_LOOP."""
     n = rows.count()
     parts = max(1, -(-n // rows_per_task))
+    if level == 0:
+        parts = max(parts, min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if parts == 1:
         placed = rows.coalesce(1).withColumn("frag", F.lit(0))
     else:

@@ -53,3 +53,12 @@ def test_paths_and_descendants(spark):
     paths = hierarchy.paths(edges, "p", "c")
     assert {r.node: r.path for r in paths.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "d": ["a", "b", "c", "d"], "e": ["a", "e"]}
     assert {r.node: (r.n_descendants, r.n_children) for r in hierarchy.descendant_counts(paths).collect()} == {"a": (4, 2), "b": (2, 1), "c": (1, 1), "d": (0, 0), "e": (0, 0)}
+
+
+def test_links_below_the_bound_go_through_fragments(spark, monkeypatch):
+    levels, inner = [], hierarchy._solve
+    monkeypatch.setattr(hierarchy, "_solve", lambda rows, level, bound: levels.append(level) or inner(rows, level, bound))
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [(f"c{i}", f"c{(i + 1) % 40}") for i in range(40)] + [("c3", "below")]
+    got = {r.node: (r.root, r.depth, r.on_cycle) for r in hierarchy.solve(spark.createDataFrame(edges, "p string, c string"), "p", "c").collect()}
+    want = {f"n{i}": ("n0", i, 0) for i in range(301)} | {f"c{i}": ("", -1, 1) for i in range(40)} | {"below": ("", -1, 0)}
+    assert got == want and levels == [0, 1]
