@@ -30,15 +30,20 @@ def requests(audit: DataFrame) -> DataFrame:
     return rows.withColumn("day", (F.floor(F.col("at_us") / DAY_US) * (DAY_US // 1000)).cast("bigint"))
 
 
-def reads_by_day(audit: DataFrame) -> DataFrame:
-    """dataset_urn, day (bucket_ms), principal, statement, columns of each data set a request read."""
+def reads(audit: DataFrame) -> DataFrame:
+    """dataset_urn, day (bucket_ms, null without a usable ts), principal, statement, columns of each data set a request read."""
     return (
-        requests(audit).where("day IS NOT NULL")
+        requests(audit)
         .select("day", "line_no", "principal", "statement", F.explode("reads").alias("r"))
         .select(F.col("r.key").alias("dataset_urn"), F.col("day").alias("bucket_ms"), "line_no", "principal", "statement", F.array_distinct(F.transform("r.value", F.lower)).alias("columns"))
     )
 
 
+def reads_by_day(audit: DataFrame) -> DataFrame:
+    """The reads that belong to a day."""
+    return reads(audit).where("bucket_ms IS NOT NULL")
+
+
 def daily(audit: DataFrame) -> DataFrame:
     """dataset_urn, bucket_ms, queries, unique_users."""
     users = reads_by_day(audit).groupBy("dataset_urn", "bucket_ms", "principal").agg(F.count("*").alias("n"))

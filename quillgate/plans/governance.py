@@ -83,7 +83,7 @@ def certified_substitutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def substitute_pick(spark: SparkSession, d: str) -> DataFrame:
-    reads = usage.reads_by_day(table(spark, d, "audit")).select("dataset_urn", F.explode("columns").alias("column"))
+    reads = usage.reads(table(spark, d, "audit")).select("dataset_urn", F.explode("columns").alias("column"))
     sets = _sets(spark, d)
     return policy.covering(reads, _cols(spark, d), policy.substitutes(sets, table(spark, d, "lineage")))
 

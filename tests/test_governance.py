@@ -163,3 +163,21 @@ def test_run_caps_and_stops(spark):
     slow = spark.range(0, 10**12, 1, 4).selectExpr("max(hash(id, id)) m")
     with pytest.raises(run.TimedOut):
         run.run(slow, seconds=1.5)
+
+
+def test_substitutes_cover_reads_without_a_day(spark, monkeypatch):
+    from quillgate.plans import governance
+
+    columns = catalog_file.load(spark, CATALOG)["columns"]
+    old, new = (columns.where(f"dataset = '{n}'").first().dataset_urn for n in ("db.raw", "db.users"))
+    audit = spark.createDataFrame(
+        [(1, "r1", "2020-01-01T01:00:00Z", {old: ["EMAIL"]}), (2, "r2", "soon", {old: ["ssn"]}), (3, "r3", None, {old: ["id"]})],
+        "line_no bigint, request_id string, ts string, column_reads map<string,array<string>>",
+    ).selectExpr("*", "'a' principal", "'executed' status", "'q' executed_sql", "'q' original_sql", "false denied", "'s' snapshot_hash", "array('u') dataset_urns")
+    subs = spark.createDataFrame([(old, new, 0)], "urn string, substitute string, ord int")
+    monkeypatch.setattr(governance, "table", lambda s, d, n: audit)
+    monkeypatch.setattr(governance, "_sets", lambda s, d: None)
+    monkeypatch.setattr(governance, "_cols", lambda s, d: columns)
+    monkeypatch.setattr(policy, "substitutes", lambda sets, lineage: subs)
+    assert [tuple(r) for r in governance.substitute_pick(spark, "").collect()] == [(old, new, 1)]
+    assert usage.daily(audit).first().queries == 1
