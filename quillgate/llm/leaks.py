@@ -4,8 +4,10 @@ Latent semantic retrieval over passages:
 
 1. Every page becomes its stream of letters (case, punctuation, white space
    and accents gone, look-alike digits read as letters), so broken, split and
-   joined words leave no trace. Passages are windows of two blocks of
-   ``BLOCK`` letters, one block apart, over the whole page.
+   joined words leave no trace. A page's passages are windows of two blocks of
+   ``BLOCK`` letters, one block apart, over the whole page; an item's are
+   ``PASSAGE`` words, ``PASSAGE_STEP`` apart, so any ``LEAST_WORDS`` consecutive
+   words lie in one of them, however long the item is.
 2. Terms are letter 5-grams that occur in the items, weighted TF-IDF with
    document frequencies counted over all passages; those in more than
    ``MAX_DF`` of the blocks are stop terms, but of every run of
@@ -14,19 +16,22 @@ Latent semantic retrieval over passages:
    products M^T(M X) are computed in the tasks and summed by an aggregate. The
    space is fitted on pages of a documented, bounded sample (``FIT_PAGES``)
    and all items; all pages are projected and searched.
-4. A page is a candidate for an item by its passages' cosine to the item in
-   the latent space, or without the latent space, if ``NEAR`` neighbouring
-   blocks hold ``LEAST_HELD`` of the weight of any run of ``LEAST_WORDS`` words
-   of it, however long the item is; recall of this step against the exhaustive
-   check is measured in the tests.
+4. A page is a candidate for an item by its passages in the latent space: by
+   the cosine to one of the item's, and by holding a share of the weight of
+   that one's lightest run of ``LEAST_WORDS`` words. Recall of this step
+   against the exhaustive check is measured in the tests.
 5. A longest-common-subsequence check on each candidate page: exact runs of
    letters are chained in the order of both texts; between two runs there may
    be misread letters, or lines of other matter. The words of the item covered
-   by the chain give the longest run of consecutive words.
-
-No step shuffles text or compares pages with each other; the items, their
-terms and the latent base are the only things sent to tasks, all bounded by
-the evaluation set (at most ``MAX_ITEMS``), not by the corpus.
+   by the chain give the longest run of consecutive words, and how many stand
+   there in all. Long items are checked in sections of ``SECTION`` words.
+6. An answer check: whether the item's answer stands on the page too, which
+   tells reworded items from chance (:func:`reworded`).
+
+No step shuffles text or compares pages with each other. A space of ``RANK``
+dimensions can tell about as many passages apart, so the evaluation set is
+searched in parts of about ``PART_PASSAGES`` passages, as many as it needs; a
+part's letters, terms and latent base are all that is sent to tasks.
 """
 
 from __future__ import annotations
@@ -42,14 +47,13 @@ from pyspark.sql import functions as F
 from quillgate.session import cut
 
 GRAM, BLOCK = 5, 250
-MAX_ITEMS, MAX_TERMS = 20_000, 65_535
+PASSAGE, PASSAGE_STEP, SECTION, SECTION_STEP = 26, 12, 60, 40
+PART_PASSAGES, PIECE_WORDS = 320, 200
 MAX_DF, FLOOR_DF, RUN_TERMS = 0.005, 50, 24
-FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 256, 16
-LEAST_COSINE, LEAST_SHARE = 0.4, 0.4
-LEAST_WORDS, LEAST_HELD, NEAR = 12, 0.25, 3
-SLICE = 1_000_000
-LONG_PAGE = 20_000
-JUMP, TURN = 4.0, 9.0
+FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 384, 16
+LEAST_COSINE, LEAST_SHARE, LEAST_WORDS = 0.4, 0.3, 12
+SLICE, CELLS = 1_000_000, 8_000_000
+JUMP, TURN, MISSING, COLUMNS = 4.0, 9.0, 14, 64
 
 # Digits and signs that scanners give for letters.
 LOOK_ALIKES = {"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "|": "l", "!": "l", "ß": "s", "ſ": "s", "æ": "a", "œ": "o", "ø": "o"}
@@ -77,22 +81,24 @@ def letter_stream(texts: list[str], fold: np.ndarray) -> tuple[np.ndarray, np.nd
     raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     raw = np.minimum(raw, 0xFFFF)
     code = fold[raw]
-    at = np.flatnonzero(code)
-    blank, line = (raw == 32) | (raw == 9), (raw == 10) | (raw == 13)
-    blanks, lines = np.cumsum(blank), np.cumsum(line)
-    before = np.r_[-1, at[:-1]]
-    nb = blanks[at] - np.where(before < 0, 0, blanks[before])
-    nl = lines[at] - np.where(before < 0, 0, lines[before])
+    letter = code > 0
+    at, ends = np.flatnonzero(letter), np.cumsum(sizes)
+    starts, ends = np.searchsorted(at, ends - sizes), np.searchsorted(at, ends)
+    if not len(at):
+        return np.zeros(0, dtype=np.uint8), ends
+    # What is no letter counts for the letter behind it.
+    behind = np.cumsum(letter, dtype=np.int32)
+    count = lambda hit: np.bincount(behind[np.flatnonzero(hit)], minlength=len(at) + 1)[: len(at)]
+    blanks, lines = count((raw == 32) | (raw == 9)), count((raw == 10) | (raw == 13))
     first = np.zeros(len(at), dtype=bool)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    ends = np.searchsorted(at, np.cumsum(sizes))
-    head = np.searchsorted(at, starts)
-    first[head[head < len(at)]] = True
-    after = raw[np.minimum(before + 1, len(raw) - 1)]
-    broken = (nl > 0) & ((after == 45) | (after == 0xAC) | (after == 0xAD)) & ~first
+    first[starts[starts < len(at)]] = True
+    gap = np.flatnonzero(blanks + lines)
+    after, nb, nl = raw[at[gap - 1] + 1], blanks[gap], lines[gap]
+    broken = (nl > 0) & ((after == 45) | (after == 0xAC) | (after == 0xAD)) & ~first[gap]
     out = code[at]
-    out[((nb + nl > 0) & ~broken) | first] |= WORD
-    out[(nl > 0) | (nb > 1) | first] |= PIECE
+    out[gap[~broken]] |= WORD
+    out[gap[(nl > 0) | (nb > 1)]] |= PIECE
+    out[first] |= WORD | PIECE
     return out, ends
 
 
@@ -106,6 +112,12 @@ def _grams(x: np.ndarray) -> np.ndarray:
     return g
 
 
+def _distinct(key: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    key = np.sort(key)
+    return key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+
+
 def _slices(rows: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, r in enumerate(rows):
@@ -117,7 +129,7 @@ def _slices(rows: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(rows)
 
 
-def _terms(rows: list[bytes], look: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _terms(rows: list[bytes], look: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(block, term) pairs, distinct and sorted, of some pages; first block and number of blocks of each page."""
     sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     n_blocks = np.maximum(1, -(-sizes // BLOCK))
@@ -130,51 +142,70 @@ def _terms(rows: list[bytes], look: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     term = look[g]
     at = np.flatnonzero(term >= 0)
     start = np.r_[0, np.cumsum(sizes)]
-    page = np.searchsorted(start, at, side="right") - 1
+    page = np.repeat(np.arange(len(rows)), sizes)[at]
     inside = at + GRAM <= start[page + 1]
     at, page = at[inside], page[inside]
     block = first[page] + (at - start[page]) // BLOCK
-    key = np.unique(block * (MAX_TERMS + 1) + term[at])
-    return key // (MAX_TERMS + 1), key % (MAX_TERMS + 1), first, n_blocks
+    key = _distinct(block * width + term[at])
+    return key // width, key % width, first, n_blocks
+
+
+def _spans(n: int, size: int, step: int) -> list[tuple[int, int]]:
+    """Stretches of ``size``, one every ``step``, that cover 0 to n; the last one may be shorter."""
+    return [(a, min(n, a + size)) for a in range(0, max(1, n - size + step), step)]
+
+
+def _look(state: dict) -> np.ndarray:
+    """Term of every possible gram, -1 for none; made once per worker, as a broadcast's value stays there."""
+    if "look" not in state:
+        keep, grams = state["keep"], state["grams"]
+        out = np.full(1 << (5 * GRAM), -1, dtype=np.int32)
+        out[grams[keep]] = np.flatnonzero(keep)
+        state["look"] = out
+    return state["look"]
 
 
 class Items:
-    """The evaluation items as letters, words and terms."""
+    """Evaluation items as letters: sections of items, to be checked, and passages of sections, to be searched."""
 
     def __init__(self, rows: list, fold: np.ndarray):
-        if len(rows) > MAX_ITEMS:
-            raise ValueError(f"more than {MAX_ITEMS} items: search them in parts")
-        self.ids = [r.item_id for r in rows]
         codes, ends = letter_stream([r.text or "" for r in rows], fold) if rows else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
-        self.letters = [codes[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)] if rows else []
-        grams = [np.unique(_grams((x & LETTER).astype(np.int64))) for x in self.letters]
-        known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        # Beyond MAX_TERMS, several grams share a term.
-        self.n_terms = int(min(len(known), MAX_TERMS))
-        self.grams, self.of_gram = known, (np.arange(len(known)) % max(1, self.n_terms)).astype(np.int32)
-        self.terms = [np.unique(self.of_gram[np.searchsorted(known, g)]) for g in grams]
-        # The term at every place of every item, one item behind the other, and the places of each run of LEAST_WORDS words.
-        every = [_grams((x & LETTER).astype(np.int64)) for x in self.letters]
-        begin = np.r_[0, np.cumsum([len(g) for g in every])].astype(np.int64)
-        self.places = self.of_gram[np.searchsorted(known, np.concatenate(every))] if every else np.zeros(0, np.int32)
-        self.owner = np.repeat(np.arange(len(every)), np.diff(begin))
+        answers, to = letter_stream([r.answer or "" for r in rows], fold) if rows else (codes, ends)
+        self.ids, self.letters, self.answers, passages, section = [], [], [], [], []
+        for k, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends) if rows else []):
+            x = codes[lo:hi]
+            bounds = np.r_[np.flatnonzero(x & WORD), len(x)]
+            for a, z in _spans(len(bounds) - 1, SECTION, SECTION_STEP) if len(x) else []:
+                for c, e in _spans(z - a, PASSAGE, PASSAGE_STEP):
+                    passages.append(x[bounds[a + c] : bounds[a + e]])
+                    section.append(len(self.ids))
+                self.ids.append(rows[k].item_id)
+                self.letters.append(x[bounds[a] : bounds[z]])
+                self.answers.append((answers[to[k - 1] if k else 0 : to[k]] & LETTER).tobytes())
+        self.section = np.array(section, dtype=np.int64)
+        every = [_grams((x & LETTER).astype(np.int64)) for x in passages]
+        self.grams = np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64)
+        self.n_terms = len(self.grams)
+        # The term at every place of every passage, one behind the other, and the places of each run of LEAST_WORDS words.
+        self.begin = np.r_[0, np.cumsum([len(g) for g in every])].astype(np.int64)
+        self.places = np.searchsorted(self.grams, np.concatenate(every)) if every else np.zeros(0, np.int64)
+        self.terms = [np.unique(self.places[a:z]) for a, z in zip(self.begin, self.begin[1:])]
         lows, highs, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(every), dtype=np.int64)
-        for q, x in enumerate(self.letters):
+        for q, x in enumerate(passages):
             bounds = np.r_[np.flatnonzero(x & WORD), len(x)]
             if len(bounds) > LEAST_WORDS:
                 lo = bounds[:-LEAST_WORDS]
-                lows.append(begin[q] + lo)
-                highs.append(begin[q] + np.maximum(lo, bounds[LEAST_WORDS:] - GRAM + 1))
+                lows.append(self.begin[q] + lo)
+                highs.append(self.begin[q] + np.maximum(lo, bounds[LEAST_WORDS:] - GRAM + 1))
                 count[q] = len(lo)
         self.low, self.high = np.concatenate(lows), np.concatenate(highs)
         self.first_run = np.r_[0, np.cumsum(count)]
 
-    def look(self, keep: np.ndarray | None = None) -> np.ndarray:
-        """Term of every possible gram, -1 for none."""
-        out = np.full(1 << (5 * GRAM), -1, dtype=np.int32)
-        ok = np.ones(len(self.grams), dtype=bool) if keep is None else keep[self.of_gram]
-        out[self.grams[ok]] = self.of_gram[ok]
-        return out
+    def matrix(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, term) pairs without stop terms."""
+        row, col = np.repeat(np.arange(len(self.terms)), [len(t) for t in self.terms]), np.concatenate(self.terms)
+        ok = idf[col] > 0
+        return row[ok], col[ok]
 
 
 def streams(documents: DataFrame, fold: np.ndarray) -> DataFrame:
@@ -193,28 +224,28 @@ def streams(documents: DataFrame, fold: np.ndarray) -> DataFrame:
 
 def frequencies(pages: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
     """Number of blocks with each term, of all blocks and of all pages. Collects one row per term."""
-    sent = pages.sparkSession.sparkContext.broadcast((items.grams, items.of_gram))
+    width = items.n_terms
+    sent = pages.sparkSession.sparkContext.broadcast({"grams": items.grams, "keep": np.ones(width, dtype=bool)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, of_gram = sent.value
-        look = np.full(1 << (5 * GRAM), -1, dtype=np.int32)
-        look[grams] = of_gram
-        df, n, m = np.zeros(MAX_TERMS + 1, dtype=np.int64), 0, 0
+        look = _look(sent.value)
+        df, n, m = np.zeros(width, dtype=np.int64), 0, 0
         for b in batches:
             rows = list(b["letters"])
             for a, z in _slices(rows):
-                _, term, _, n_blocks = _terms(rows[a:z], look)
-                df += np.bincount(term, minlength=MAX_TERMS + 1)
+                _, term, _, n_blocks = _terms(rows[a:z], look, width)
+                df += np.bincount(term, minlength=width)
                 n += int(n_blocks.sum())
                 m += z - a
         hit = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.r_[hit, -1, -2], "n": np.r_[df[hit], n, m]})
 
     total = {r.term: r.n for r in pages.select("letters").mapInPandas(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.zeros(items.n_terms, dtype=np.int64)
+    df = np.zeros(width, dtype=np.int64)
     for t, n in total.items():
         if t >= 0:
             df[t] = n
+    sent.destroy()
     return df, total.get(-1, 0), total.get(-2, 0)
 
 
@@ -228,18 +259,12 @@ def weights(items: Items, df: np.ndarray, n_blocks: int) -> np.ndarray:
 
 
 def _product(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
-    """Sparse (row-sorted) times dense, in bounded pieces."""
+    """Sparse (row-sorted) times dense."""
     out = np.zeros((n_rows, x.shape[1]), dtype=np.float32)
-    if not len(row):
-        return out
-    starts = np.flatnonzero(np.r_[True, np.diff(row) > 0])
-    ends = np.r_[starts[1:], len(row)]
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 20_000)))
-        a, b = starts[i], ends[j - 1]
-        out[row[starts[i:j]]] = np.add.reduceat(x[col[a:b]] * val[a:b, None], starts[i:j] - a, axis=0)
-        i = j
+    if len(row):
+        starts = np.flatnonzero(np.r_[True, np.diff(row) > 0])
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
+            out[row[a]] = np.einsum("i,ij->j", val[a:z], x.take(col[a:z], 0))
     return out
 
 
@@ -257,38 +282,36 @@ def _weighted(block: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int) -> n
     return (w / np.maximum(length[block], 1e-6)).astype(np.float32)
 
 
-def latent_base(pages: DataFrame, items: Items, idf: np.ndarray, n_pages: int, rank: int = RANK) -> np.ndarray:
+def fit_sample(pages: DataFrame, n_pages: int) -> DataFrame:
+    """About FIT_PAGES pages, by hash, in FIT_TASKS tasks: bounded, so the partial products of the fit are too."""
+    rate = min(1.0, FIT_PAGES / max(1, n_pages))
+    sample = pages.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000)).select("letters")
+    return cut(sample.repartition(FIT_TASKS), "fit")
+
+
+def latent_base(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Right singular vectors (terms x rank) by randomised subspace iteration.
 
     The items' rows are weighted so that together they count as much as the
     sampled passages; else rare items would fall out of the space.
     """
-    keep = idf > 0
-    width = min(rank + EXTRA, items.n_terms)
+    n_terms, n_passages = items.n_terms, len(items.terms)
+    width = min(rank + EXTRA, n_terms)
     rng = np.random.default_rng(7)
-    base = np.linalg.qr(rng.standard_normal((items.n_terms, width)))[0].astype(np.float32)
-    rate = min(1.0, FIT_PAGES / max(1, n_pages))
-    sample = pages.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000)).select("letters")
-    sample = cut(sample.repartition(FIT_TASKS), "fit")  # bounded, so the partial products are too
-    row = np.repeat(np.arange(len(items.terms)), [len(t) for t in items.terms])
-    col = np.concatenate(items.terms) if items.terms else np.zeros(0, np.int64)
-    ok = keep[col]
-    row, col = row[ok], col[ok]
-    val = _weighted(row, col, idf, len(items.terms))
-    context = pages.sparkSession.sparkContext
+    base = np.linalg.qr(rng.standard_normal((n_terms, width)))[0].astype(np.float32)
+    row, col = items.matrix(idf)
+    val = _weighted(row, col, idf, n_passages)
+    context = sample.sparkSession.sparkContext
     chunk = 512
 
     def partials(sent):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            grams, of_gram, weights, x = sent.value
-            look = np.full(1 << (5 * GRAM), -1, dtype=np.int32)
-            good = weights[of_gram] > 0
-            look[grams[good]] = of_gram[good]
+            look, weights, x = _look(sent.value), sent.value["idf"], sent.value["x"]
             z, n = np.zeros(x.shape, dtype=np.float32), 0
             for b in batches:
                 rows = list(b["letters"])
                 for i, j in _slices(rows):
-                    block, term, _, n_blocks = _terms(rows[i:j], look)
+                    block, term, _, n_blocks = _terms(rows[i:j], look, n_terms)
                     m = int(n_blocks.sum())
                     n += m
                     if len(block):
@@ -305,28 +328,33 @@ def latent_base(pages: DataFrame, items: Items, idf: np.ndarray, n_pages: int, r
 
     z = base
     for _ in range(2):
-        sent = context.broadcast((items.grams, items.of_gram, idf, base))
+        sent = context.broadcast({"grams": items.grams, "keep": idf > 0, "idf": idf, "x": base})
         sums = sample.mapInPandas(partials(sent), "k bigint, z binary, n bigint").groupBy("k").applyInPandas(add, "k bigint, z binary, n bigint")
         z, n = np.zeros(base.shape, dtype=np.float32), 0
         for r in sums.collect():  # terms x rank numbers, whatever the corpus
             part = np.frombuffer(bytes(r.z), dtype=np.float32).reshape(-1, width)
             z[r.k : r.k + len(part)] = part
             n = r.n
-        scale = max(1.0, n / max(1, len(items.terms)))
-        z = z + scale * _normal_product(row, col, val, base, len(items.terms))
+        z = z + max(1.0, n / max(1, n_passages)) * _normal_product(row, col, val, base, n_passages)
         base = np.linalg.qr(z)[0].astype(np.float32)
-        sent.unpersist()
+        sent.destroy()
     # Rotation of the base to singular vectors: for a converged subspace Z = M^T M base holds the singular values.
     order = np.argsort(-np.linalg.norm(z @ (z.T @ base), axis=0)) if z.size else np.arange(width)
     return base[:, order[:rank]]
 
 
-def _windows(places: list[int], size: int) -> set[tuple[int, int]]:
-    """Stretches of a page to check for hits at ``places``: the page, or windows of a very long one."""
-    if size <= LONG_PAGE:
+def _windows(places: list[int], size: int, letters: int) -> set[tuple[int, int]]:
+    """Stretches of a page to check for hits at ``places``: the page, or windows of a very long one.
+
+    A chain's costs are less than the letters of the section, and a letter of
+    distance on the page costs a hundredth, so no chain spans more than
+    ``span`` letters and each lies whole in one of the windows.
+    """
+    span = 102 * (letters + BLOCK)
+    if size <= 2 * span:
         return {(0, size)}
-    half = LONG_PAGE // 2
-    return {(max(0, k * half - half // 2), min(size, k * half + half + half // 2)) for k in {p // half for p in places}}
+    near = {k for p in places for k in (p // span - 1, p // span) if k >= 0}
+    return {(k * span, min(size, (k + 2) * span)) for k in near}
 
 
 def _lcs(a: list[int], b: list[int]) -> int:
@@ -362,42 +390,62 @@ def _runs(item: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return i0[o], j0[o], length[o]
 
 
-def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
-    """Greatest number of consecutive words of the item that the page holds, by the chain of step 5."""
-    item, page = item_codes & LETTER, page_codes & LETTER
-    i0, j0, size = _runs(item, page)
-    if not len(i0):
-        return 0
-    i1, j1 = i0 + size, j0 + size
-    # Letters from each end of a run to the edge of its line or column.
-    edges = np.unique(np.r_[0, np.flatnonzero(page_codes & PIECE), len(page)])
-    tail = edges[np.searchsorted(edges, j1)] - j1
-    head = j0 - edges[np.searchsorted(edges, j0, side="right") - 1]
-    score, back = size.astype(np.float64), np.full(len(size), -1)
-    for b in range(1, len(size)):
-        behind = j1[b] <= j0[:b]
-        a = np.flatnonzero((i0[:b] < i0[b]) & (i1[:b] < i1[b]) & (behind | (j0[:b] < j0[b]) & (j1[:b] < j1[b])))
-        if not len(a):
-            continue
-        behind = behind[a]
+def _chain(i0: np.ndarray, j0: np.ndarray, size: np.ndarray, tail: np.ndarray, head: np.ndarray) -> list[int]:
+    """The runs of the best chain, in order of the item.
+
+    A run follows only runs that end at most MISSING letters of the item before
+    it, so the gains are computed for some columns at a time and those only.
+    """
+    n, i1, j1 = len(size), i0 + size, j0 + size
+    score, back = size.astype(np.float64), np.full(n, -1)
+    for start in range(1, n, COLUMNS):
+        stop = min(n, start + COLUMNS)
+        rows = np.flatnonzero(i1[: stop - 1] >= i0[start] - MISSING)
+        a, b = rows[:, None], np.arange(start, stop)[None, :]
+        behind = j1[b] <= j0[a]
+        ok = (a < b) & (i0[a] < i0[b]) & (i1[a] < i1[b]) & (behind | (j0[a] < j0[b]) & (j1[a] < j1[b]))
         gi, gj = i0[b] - i1[a], j0[b] - j1[a]
         over = np.maximum(0, np.maximum(-gi, np.where(behind, 0, -gj)))
         gi, gj = gi + over, gj + over
         # What the item has between two runs should stand, misread, between them and their edges.
         stray = np.abs(gi - tail[a] - head[b])
-        misread = ~behind & (np.abs(gi - gj) <= 3) & (np.maximum(gi, gj) <= 16)
+        misread = ~behind & (np.abs(gi - gj) <= 3) & (np.maximum(gi, gj) <= MISSING + 2)
         jump = JUMP + 0.5 * gi + 0.01 * gj + np.minimum(10, 0.8 * np.maximum(0, stray - 2))
         # From the foot of a column to the head of the next, where columns were read across each other.
-        turn = np.where(stray > 6, 1e9, TURN + 0.5 * gi - 0.01 * gj)
-        cost = np.where(misread, 0.5 * np.maximum(gi, gj), np.where(gi > 14, 1e9, np.where(behind, turn, jump)))
-        v = score[a] + size[b] - over - cost
-        k = int(v.argmax())
-        if v[k] > score[b]:
-            score[b], back[b] = v[k], a[k]
+        turn = np.where(stray > 6, np.inf, TURN + 0.5 * gi - 0.01 * gj)
+        cost = np.where(misread, 0.5 * np.maximum(gi, gj), np.where(gi > MISSING, np.inf, np.where(behind, turn, jump)))
+        gain = np.where(ok, size[b] - over - cost, -np.inf)
+        ends = np.searchsorted(rows, np.arange(start, stop))
+        for k, m in zip(range(start, stop), ends.tolist()):
+            if m:
+                v = score[rows[:m]] + gain[:m, k - start]
+                x = int(v.argmax())
+                if v[x] > score[k]:
+                    score[k], back[k] = v[x], rows[x]
     chain = [int(score.argmax())]
     while back[chain[-1]] >= 0:
         chain.append(int(back[chain[-1]]))
     chain.reverse()
+    return chain
+
+
+def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
+    """Greatest number of consecutive words of the item that the page holds, by the chain of step 5."""
+    return word_cover(item_codes, page_codes)[0]
+
+
+def word_cover(item_codes: np.ndarray, page_codes: np.ndarray) -> tuple[int, int]:
+    """The longest run of consecutive words of the item on the page, and the number of its words there in order."""
+    item, page = item_codes & LETTER, page_codes & LETTER
+    i0, j0, size = _runs(item, page)
+    if not len(i0):
+        return 0, 0
+    i1, j1 = i0 + size, j0 + size
+    # Letters from each end of a run to the edge of its line or column.
+    edges = np.r_[0, np.flatnonzero(page_codes & PIECE), len(page)]
+    tail = edges[np.searchsorted(edges, j1)] - j1
+    head = j0 - edges[np.searchsorted(edges, j0, side="right") - 1]
+    chain = _chain(i0, j0, size, tail, head)
     held = np.zeros(len(item), dtype=np.int8)
     for x in chain:
         held[i0[x] : i1[x]] = 2
@@ -410,9 +458,10 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
         else:  # other matter in between: what follows the one run and what precedes the other
             held[a:z] = _torn(item[a:z], page, c, e)
     bounds = np.r_[np.flatnonzero(item_codes & WORD), len(item)]
-    present = [bool((held[a:z] > 0).mean() >= 0.5) for a, z in zip(bounds, bounds[1:])]
+    part = lambda: np.add.reduceat(held > 0, bounds[:-1], dtype=np.int64) / np.diff(bounds)
+    present = (part() >= 0.5).tolist()
     _grow(present, bounds, item, page, page_codes, i0[chain[0]], j0[chain[0]], i1[chain[-1]], j1[chain[-1]])
-    part = [float((held[a:z] > 0).mean()) for a, z in zip(bounds, bounds[1:])]
+    part = part()
     for k in range(1, len(present) - 1):  # a badly misread word between two others
         if present[k - 1] and present[k + 1] and part[k] >= 0.3:
             present[k] = True
@@ -420,7 +469,7 @@ def longest_word_run(item_codes: np.ndarray, page_codes: np.ndarray) -> int:
     for p in present:
         run = run + 1 if p else 0
         best = max(best, run)
-    return best
+    return best, sum(present)
 
 
 def _torn(gap: np.ndarray, page: np.ndarray, end: int, start: int) -> np.ndarray:
@@ -475,132 +524,118 @@ def _grow(present: list[bool], bounds: np.ndarray, item: np.ndarray, page: np.nd
 
 
 def lightest(items: Items, weight: np.ndarray) -> np.ndarray:
-    """Weight of the lightest run of LEAST_WORDS words of every item; infinite where it has none."""
+    """Weight of the lightest run of LEAST_WORDS words of every passage; infinite where it has none."""
     total = np.r_[0, np.cumsum(weight[items.places].astype(np.float64))]
     run = total[items.high] - total[items.low]
     return np.array([run[a:z].min() if z > a else np.inf for a, z in zip(items.first_run, items.first_run[1:])])
 
 
-class Holder:
-    """Which pages hold enough of some run of words of an item, by the weight of its terms."""
-
-    def __init__(self, items: Items, idf: np.ndarray, held: float = LEAST_HELD):
-        self.by = np.argsort(items.places, kind="stable")
-        self.start = np.searchsorted(items.places[self.by], np.arange(items.n_terms + 1))
-        self.owner, self.weight = items.owner, idf[items.places].astype(np.float64)
-        self.low, self.high, self.first_run = items.low, items.high, items.first_run
-        total = np.r_[0, np.cumsum(self.weight)]
-        run = total[self.high] - total[self.low]
-        self.need = np.where(run > 0, held * run, np.inf)
-        self.least = np.array([self.need[a:z].min() if z > a else np.inf for a, z in zip(self.first_run, self.first_run[1:])])
-
-    def pairs(self, block: np.ndarray, term: np.ndarray, first: np.ndarray, n_blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(block, item) where NEAR blocks from that one on hold enough; behind a page's last block comes its first again."""
-        page = np.repeat(np.arange(len(first)), n_blocks)[block]
-        near = [first[page] + (block - first[page] - k) % n_blocks[page] for k in range(NEAR)]
-        key = np.unique(np.concatenate(near) * (MAX_TERMS + 1) + np.tile(term, NEAR))
-        window, term = key // (MAX_TERMS + 1), key % (MAX_TERMS + 1)
-        n = self.start[term + 1] - self.start[term]
-        at = self.by[np.repeat(self.start[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        size = len(self.owner) + 1
-        key = np.sort(np.repeat(window, n) * size + at)
-        window, at = key // size, key % size
-        total = np.r_[0, np.cumsum(self.weight[at])]
-        heads = np.flatnonzero(np.r_[True, (np.diff(window) != 0) | (np.diff(self.owner[at]) != 0)]) if len(at) else np.zeros(0, np.int64)
-        item, of = self.owner[at[heads]], window[heads]
-        enough = np.flatnonzero(total[np.r_[heads[1:], len(at)]] - total[heads] >= self.least[item]) if len(heads) else heads
-        item, of = item[enough], of[enough]
-        runs = self.first_run[item + 1] - self.first_run[item]
-        ends, good, i = np.cumsum(runs), np.zeros(len(item), dtype=bool), 0
-        while i < len(item):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE)))
-            m = runs[i:j]
-            r = np.repeat(self.first_run[item[i:j]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            base = np.repeat(of[i:j], m) * size
-            here = total[np.searchsorted(key, base + self.high[r])] - total[np.searchsorted(key, base + self.low[r])]
-            good[i + np.unique(np.repeat(np.arange(j - i), m)[here >= self.need[r]])] = True
-            i = j
-        return of[good], item[good]
+HITS = "doc_id bigint, item_id bigint, cosine double, n_words bigint, n_held bigint, of_words bigint, answered boolean"
 
 
 def candidates_and_runs(pages: DataFrame, items: Items, idf: np.ndarray, base: np.ndarray, cosine: float = LEAST_COSINE, share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, item_id, cosine, n_words of every candidate; n_words from the check on the whole page."""
-    row = np.repeat(np.arange(len(items.terms)), [len(t) for t in items.terms])
-    col = np.concatenate(items.terms) if items.terms else np.zeros(0, np.int64)
-    ok = idf[col] > 0
-    latent = _product(row[ok], col[ok], idf[col[ok]].astype(np.float32), base, len(items.terms))
+    """HITS: every candidate page of every section of an item; the words from the check on the whole page."""
+    row, col = items.matrix(idf)
+    latent = _product(row, col, idf[col], base, len(items.terms))
     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6).astype(np.float32)
-    # Least product with an item: of its lightest run of words, not of the whole item.
-    least = (share * lightest(items, idf * idf) / norm).astype(np.float32)
-    sent = pages.sparkSession.sparkContext.broadcast((items.ids, items.letters, items.grams, items.of_gram, idf, base * idf[:, None].astype(np.float32), latent / norm[:, None], least, Holder(items, idf)))
+    # Least product and cosine with a passage: of its lightest run of words, not of the whole passage.
+    run_weight = lightest(items, idf * idf)
+    whole = np.add.reduceat(idf[col] ** 2, np.searchsorted(row, np.arange(len(latent)))) if len(row) else np.zeros(0)
+    least = (share * run_weight / norm).astype(np.float32)
+    least_cosine = (cosine * np.sqrt(np.minimum(1, run_weight / np.maximum(whole, 1e-6)))).astype(np.float32)
+    state = {
+        "ids": items.ids, "letters": items.letters, "answers": items.answers, "section": items.section, "grams": items.grams, "keep": idf > 0,
+        "to_latent": base * idf[:, None], "unit": latent / norm[:, None], "least": least, "least_cosine": least_cosine,
+    }
+    sent, n_terms = pages.sparkSession.sparkContext.broadcast(state), items.n_terms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, letters, grams, of_gram, weights, to_latent, unit, least, holder = sent.value
-        look = np.full(1 << (5 * GRAM), -1, dtype=np.int32)
-        good = weights[of_gram] > 0
-        look[grams[good]] = of_gram[good]
-        one = np.ones(1, dtype=np.float32)
+        s = sent.value
+        look, ids, letters, answers, section, unit = _look(s), s["ids"], s["letters"], s["answers"], s["section"], s["unit"]
         for b in batches:
             rows, docs = list(b["letters"]), b["doc_id"].to_numpy()
             for i, j in _slices(rows):
-                block, term, first, n_blocks = _terms(rows[i:j], look)
+                block, term, first, n_blocks = _terms(rows[i:j], look, n_terms)
                 if not len(block):
                     continue
                 total = int(n_blocks.sum())
-                x = _product(block, term, np.broadcast_to(one, len(block)), to_latent, total)
+                x = _product(block, term, np.ones(len(block), dtype=np.float32), s["to_latent"], total)
                 owner = np.repeat(np.arange(j - i), n_blocks)
                 joined = np.flatnonzero(owner[:-1] == owner[1:])
                 x[joined] += x[joined + 1].copy()
                 size = np.maximum(np.linalg.norm(x, axis=1), 1e-6)
                 hits: dict[tuple[int, int], float] = {}
                 places: dict[tuple[int, int], list[int]] = {}
-                for s in range(0, total, 2048):
-                    dot = x[s : s + 2048] @ unit.T
-                    cos = dot / size[s : s + 2048, None]
-                    for p, q in zip(*np.nonzero((cos >= cosine) & (dot >= least))):
-                        k = (int(owner[s + p]), int(q))
-                        hits[k] = max(hits.get(k, 0.0), float(cos[p, q]))
-                        places.setdefault(k, []).append(int(s + p - first[owner[s + p]]) * BLOCK)
-                near, held = holder.pairs(block, term, first, n_blocks)
-                for p, q in zip(near.tolist(), held.tolist()):
-                    k = (int(owner[p]), q)
-                    if k not in hits:
-                        dot = x[p : p + NEAR] @ unit[q]
-                        hits[k] = float((dot / size[p : p + NEAR]).max())
-                    places.setdefault(k, []).append(int(p - first[k[0]]) * BLOCK)
-                if hits:
-                    out = []
-                    for (d, q), c in hits.items():
-                        page = np.frombuffer(rows[i + d], dtype=np.uint8)
-                        runs = [longest_word_run(letters[q], page[a:z]) for a, z in _windows(places[d, q], len(page))]
-                        out.append((docs[i + d], ids[q], c, max(runs)))
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "n_words"])
-
-    return pages.mapInPandas(run, "doc_id bigint, item_id bigint, cosine double, n_words bigint")
+                step = max(1, CELLS // len(unit))
+                for a in range(0, total, step):
+                    dot = x[a : a + step] @ unit.T
+                    p, q = np.nonzero((dot >= s["least"]) & (dot >= s["least_cosine"] * size[a : a + step, None]))
+                    for p, q, c in zip((p + a).tolist(), q.tolist(), (dot[p, q] / size[p + a]).tolist()):
+                        k = (int(owner[p]), int(section[q]))
+                        hits[k] = max(hits.get(k, 0.0), c)
+                        places.setdefault(k, []).append(int(p - first[k[0]]) * BLOCK)
+                out, last = [], -1
+                for (d, q), c in sorted(hits.items()):
+                    if d != last:
+                        page, last = np.frombuffer(rows[i + d], dtype=np.uint8), d
+                        plain = (page & LETTER).tobytes()
+                    cover = [word_cover(letters[q], page[a:z]) for a, z in _windows(places[d, q], len(page), len(letters[q]))]
+                    words = int(((letters[q] & WORD) > 0).sum())
+                    out.append((docs[i + d], ids[q], c, max(r for r, _ in cover), max(n for _, n in cover), words, len(answers[q]) > 0 and answers[q] in plain))
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "n_words", "n_held", "of_words", "answered"])
+
+    return pages.mapInPandas(run, HITS)
+
+
+def parts(eval_items: DataFrame) -> tuple[DataFrame, int]:
+    """item_id, text, answer, part and the number of parts; items of more than PIECE_WORDS words lie in overlapping pieces."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SECTION), F.lit(PIECE_WORDS - SECTION))
+    pieces = F.when(F.size(words) <= PIECE_WORDS, F.array("text")).otherwise(F.transform(starts, lambda a: F.array_join(F.slice(words, a, PIECE_WORDS), "")))
+    items = cut(eval_items.where("item_id IS NOT NULL AND text <> ''").select("item_id", "answer", F.posexplode(pieces).alias("piece", "text")), "items")
+    passages = F.greatest(F.lit(1), F.ceil((F.size(words) - PASSAGE) / PASSAGE_STEP) + 1)
+    n = -(-(items.agg(F.sum(passages)).first()[0] or 0) // PART_PASSAGES)
+    return items.select("item_id", "text", "answer", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(1, n))).alias("part")), n
 
 
 def search(documents: DataFrame, eval_items: DataFrame, cosine: float = LEAST_COSINE, share: float = LEAST_SHARE, rank: int = RANK) -> DataFrame:
-    """doc_id, item_id, cosine, n_words of all candidate pairs.
+    """doc_id, item_id, cosine, n_words, n_held, of_words, answered of all candidate pairs.
 
-    Null and empty texts on either side hold nothing, rows without an id are
-    left out; a page given twice is reported twice. A page of more than
-    LONG_PAGE letters is checked in overlapping windows around all its hits. The evaluation set goes to the driver and the tasks; it is
-    refused beyond MAX_ITEMS.
+    n_words is the longest run of consecutive words, n_held how many of the
+    of_words words of the item stand on the page in order; both of the best of
+    its sections where an item is longer than ``SECTION`` words. answered:
+    the page holds the item's answer. Null and empty texts on either side hold
+    nothing, rows without an id are left out; rows of one id count as one.
     """
     spark = documents.sparkSession
     fold = fold_table()
-    items = Items(eval_items.select("item_id", "text").where("item_id IS NOT NULL").limit(MAX_ITEMS + 1).collect(), fold)
-    none = spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, n_words bigint")
-    if not items.n_terms:
-        return none
-    pages = streams(documents, fold)
-    df, n_blocks, n_pages = frequencies(pages, items)
-    if not n_blocks:
-        return none
-    idf = weights(items, df, n_blocks)
-    base = latent_base(pages, items, idf, n_pages, rank)
-    return candidates_and_runs(pages, items, idf, base, cosine, share)
+    items_of, n_parts = parts(eval_items)
+    out, pages, sample = None, None, None
+    for k in range(n_parts):
+        items = Items(items_of.where(F.col("part") == k).collect(), fold)  # about PART_PASSAGES passages
+        if not items.n_terms:
+            continue
+        pages = pages if pages is not None else streams(documents, fold)
+        df, n_blocks, n_pages = frequencies(pages, items)
+        if not n_blocks:
+            break
+        idf = weights(items, df, n_blocks)
+        sample = sample if sample is not None else fit_sample(pages, n_pages)
+        hits = candidates_and_runs(pages, items, idf, latent_base(sample, items, idf, rank), cosine, share)
+        hits = hits if n_parts == 1 else cut(hits, "hits")
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return spark.createDataFrame([], HITS)
+    best = F.max_by(F.struct("n_held", "of_words"), F.struct("n_held", "n_words")).alias("b")
+    found = out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("n_words").alias("n_words"), best, F.bool_or("answered").alias("answered"))
+    return found.select("doc_id", "item_id", "cosine", "n_words", "b.n_held", "b.of_words", "answered")
 
 
 def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    return search(documents, eval_items).where(F.col("n_words") >= LEAST_WORDS).select("doc_id", "item_id").distinct()
+    return search(documents, eval_items).where(F.col("n_words") >= LEAST_WORDS).select("doc_id", "item_id")
+
+
+def reworded(hits: DataFrame) -> DataFrame:
+    """Pairs of :func:`search` without a run of LEAST_WORDS words whose page still holds half of the words in order, and the answer."""
+    return hits.where((F.col("n_words") < LEAST_WORDS) & (2 * F.col("n_held") >= F.col("of_words")) & F.col("answered"))

@@ -35,10 +35,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.search(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Per leaked item: pages that hold it and the longest run of its words on any."""
-    hits = leaks.search(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("n_words") >= leaks.LEAST_WORDS)
-    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("n_words").alias("longest_run"))
+    """Per leaked item: pages that hold it, those with its answer too, and the longest run of its words on any."""
+    hits = _leaks(spark, d).where(F.col("n_words") >= leaks.LEAST_WORDS)
+    return hits.groupBy("item_id").agg(F.count("*").alias("n_pages"), F.count_if("answered").alias("n_answered"), F.max("n_words").alias("longest_run"))
+
+
+def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that hold half of an item's words in order and its answer, without a run of twelve words."""
+    return leaks.reworded(_leaks(spark, d)).select("doc_id", "item_id", "n_words", "n_held")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -109,4 +118,4 @@ FROM s GROUP BY doc_id HAVING count(CASE WHEN f < doc_id THEN 1 END) > 0
     "p3_scores": _PAIRS + "SELECT * FROM f",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_repeated)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items, p8_reworded, p9_mix, p9_shares, p10_found, p10_repeated)}

@@ -147,3 +147,76 @@ def test_twelve_words_of_long_items(spark, long_corpus):
     for how in ("clean", "poor", "interleaved", "both"):
         want = {p for p in true if kind[p[0]][1] == how}
         assert len(want & got) >= 0.98 * len(want) > 0
+
+
+LENGTHS, AMOUNTS = (18, 40, 80, 200, 800, 1500), ("whole", "half", 20, 12)
+
+
+@pytest.fixture(scope="module")
+def by_length():
+    """Six items of every length, each planted whole, half, 20 and 12 words of it on a page of its own, among clean pages."""
+    rng = random.Random(21)
+    common = [word(rng) for _ in range(600)]
+    items, pages, truth = [], [], {}
+    for n in LENGTHS:
+        for _ in range(6):
+            text = [rng.choice(common) if rng.random() < 0.3 else word(rng) for _ in range(n)]
+            for amount in AMOUNTS:
+                m = min(n, {"whole": n, "half": max(12, n // 2)}.get(amount, amount))
+                a = rng.randrange(n - m + 1)
+                body = [rng.choice(common) for _ in range(250)]
+                at = rng.randrange(len(body))
+                truth[len(pages), len(items)] = (n, amount)
+                pages.append((len(pages), "\n".join(lines(body[:at] + text[a : a + m] + body[at:], 6)), "x", 1))
+            items.append((len(items), " ".join(text), "a"))
+    pages += [(len(pages) + k, "\n".join(lines([rng.choice(common) for _ in range(250)], 6)), "x", 1) for k in range(200)]
+    return pages, items, truth
+
+
+def test_recall_by_length_of_item(spark, by_length):
+    pages, items, truth = by_length
+    hits = leaks.search(spark.createDataFrame(pages, DOCS), spark.createDataFrame(items, ITEMS))
+    got = {(r.doc_id, r.item_id) for r in hits.where("n_words >= 12").collect()}
+    recall = {}
+    for n in LENGTHS:
+        for amount in AMOUNTS:
+            want = {k for k, v in truth.items() if v == (n, amount)}
+            recall[n, amount] = len(want & got) / len(want)
+    assert min(recall.values()) >= 0.95
+    assert len(got - set(truth)) <= 0.05 * len(truth)
+
+
+def test_parts_and_pieces_lose_nothing(spark, corpus, monkeypatch):
+    """Several parts, and an item of 300 words in pieces, planted across the pieces' edges."""
+    pages, items, truth = corpus
+    rng = random.Random(31)
+    text = [word(rng) for _ in range(300)]
+    docs = [p for p in pages if p[0] < 60] + [(1000 + k, pages[0][1] + "\n" + " ".join(text[a : a + 13]), "x", 1) for k, a in enumerate(range(0, 288, 16))]
+    monkeypatch.setattr(leaks, "PART_PASSAGES", 25)
+    monkeypatch.setattr(leaks, "PIECE_WORDS", 100)
+    got = {tuple(r) for r in leaks.found(spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, (99, " ".join(text), "a")], ITEMS)).collect()}
+    want = {p for p in truth if p[0] < 60} | {(1000 + k, 99) for k in range(18)}
+    assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 2
+
+
+def test_very_long_page_in_windows_finds_what_the_whole_page_does(by_length):
+    pages, items, truth = by_length
+    fold = leaks.fold_table()
+    letters = lambda t: leaks.letter_stream([t], fold)[0]
+    page = letters("\n".join(p[1] for p in pages[:60]))
+    item = letters(" ".join(items[0][1].split()[:18]))
+    at = [leaks.BLOCK * k for k in range(len(page) // leaks.BLOCK)]
+    assert leaks._windows(at, len(page), len(item)) != {(0, len(page))}
+    whole = leaks.word_cover(item, page)
+    windows = [leaks.word_cover(item, page[a:z]) for a, z in leaks._windows(at, len(page), len(item))]
+    assert max(r for r, _ in windows) >= whole[0] >= 12
+    assert all(z - a <= 2 * 102 * (len(item) + leaks.BLOCK) for a, z in leaks._windows(at, len(page), len(item)))
+
+
+def test_reworded_items_need_the_answer(spark, corpus):
+    pages, items, _ = corpus
+    words = items[5][1].rstrip(".").split()
+    changed = " ".join(w if k % 5 else "zzzzq" for k, w in enumerate(words))
+    docs = [(1, pages[0][1] + "\n" + changed + "\nmoltan", "x", 1), (2, pages[2][1] + "\n" + changed, "x", 1), (3, pages[4][1], "x", 1)]
+    hits = leaks.search(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, items[5][1], "Moltan.")], ITEMS))
+    assert [tuple(r) for r in leaks.reworded(hits).select("doc_id", "item_id").collect()] == [(1, 5)]
