@@ -8,6 +8,7 @@ temporary folder is taken.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -18,6 +19,7 @@ _fallback: dict[str, str] = {}
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings the operators and the SQL checks assume."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # for the Python workers of local sessions, one of which runs per core
     b = (
         SparkSession.builder.master(master)
         .appName("quillgate")
