@@ -50,7 +50,7 @@ GRAM, BLOCK = 5, 250
 PASSAGE, PASSAGE_STEP, SECTION, SECTION_STEP = 26, 12, 60, 40
 PART_PASSAGES, PIECE_WORDS = 320, 200
 MAX_DF, FLOOR_DF, RUN_TERMS = 0.005, 50, 24
-FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 12, 384, 16
+FIT_PAGES, FIT_TASKS, RANK, EXTRA = 3000, 4, 320, 16
 LEAST_COSINE, LEAST_SHARE, LEAST_WORDS = 0.4, 0.3, 12
 SLICE, CELLS = 1_000_000, 8_000_000
 JUMP, TURN, MISSING, COLUMNS = 4.0, 9.0, 14, 64
