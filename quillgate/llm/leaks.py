@@ -259,7 +259,7 @@ def weights(items: Items, df: np.ndarray, n_blocks: int) -> np.ndarray:
 
 
 def _product(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
-    """Sparse (row-sorted) times dense."""
+    """Sparse (row-sorted) times dense; ``x`` must lie row by row, as take copies it otherwise."""
     out = np.zeros((n_rows, x.shape[1]), dtype=np.float32)
     if len(row):
         starts = np.flatnonzero(np.r_[True, np.diff(row) > 0])
@@ -298,7 +298,7 @@ def latent_base(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
     n_terms, n_passages = items.n_terms, len(items.terms)
     width = min(rank + EXTRA, n_terms)
     rng = np.random.default_rng(7)
-    base = np.linalg.qr(rng.standard_normal((n_terms, width)))[0].astype(np.float32)
+    base = np.ascontiguousarray(np.linalg.qr(rng.standard_normal((n_terms, width)))[0], dtype=np.float32)
     row, col = items.matrix(idf)
     val = _weighted(row, col, idf, n_passages)
     context = sample.sparkSession.sparkContext
@@ -336,11 +336,11 @@ def latent_base(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RA
             z[r.k : r.k + len(part)] = part
             n = r.n
         z = z + max(1.0, n / max(1, n_passages)) * _normal_product(row, col, val, base, n_passages)
-        base = np.linalg.qr(z)[0].astype(np.float32)
+        base = np.ascontiguousarray(np.linalg.qr(z)[0], dtype=np.float32)
         sent.destroy()
     # Rotation of the base to singular vectors: for a converged subspace Z = M^T M base holds the singular values.
     order = np.argsort(-np.linalg.norm(z @ (z.T @ base), axis=0)) if z.size else np.arange(width)
-    return base[:, order[:rank]]
+    return np.ascontiguousarray(base[:, order[:rank]])
 
 
 def _windows(places: list[int], size: int, letters: int) -> set[tuple[int, int]]:
