@@ -7,6 +7,8 @@ literal Column, never as text spliced into SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,25 +19,39 @@ STRATEGIES = ("null", "hash", "partial_email", "partial_phone", "generalize_date
 SHAPES = {"hash": "^[0-9a-f]{32}$", "partial_email": r"^(\*\*\*|.\*\*\*@.*)$", "partial_phone": r"^\*\*\*(-.{4})?$", "fixed_string": r"^\*\*\*$"}
 
 
-def is_temporal(data_type: str) -> bool:
-    """DATE or TIME in the declared type."""
-    return "DATE" in data_type.upper() or "TIME" in data_type.upper()
+# What a reader is told about each strategy's output.
+HINTS = {
+    "null": "Values are nulled; the column carries no signal.",
+    "hash": "Masked values preserve equality: GROUP BY / COUNT(DISTINCT ...) remain correct.",
+    "partial_email": "Only the first character and domain survive; equality is not preserved.",
+    "partial_phone": "Only the last four digits survive; equality is not preserved.",
+    "generalize_date": "Dates are generalized to the first of the month.",
+    "fixed_string": "Every value is replaced by a constant.",
+}
+
+# What ``auto`` and ``partial`` become, the first pattern that fits the lower-case name;
+# below it, types taken as dates. All else is hashed.
+BY_NAME = {"email": "partial_email", "phone|_tel$": "partial_phone"}
+TEMPORAL = "DATE|TIME"
 
 
 def resolve(strategy: str, column: str, data_type: str) -> str:
     """The strategy behind ``auto`` and ``partial``; a date mask on other types becomes a hash."""
-    if strategy in ("auto", "partial"):
-        name = column.lower()
-        if "email" in name:
-            return "partial_email"
-        if "phone" in name or name.endswith("_tel"):
-            return "partial_phone"
-        return "generalize_date" if is_temporal(data_type) else "hash"
-    if strategy not in STRATEGIES:
+    if strategy not in (*STRATEGIES, "auto", "partial"):
         raise ValueError(f"unknown masking strategy {strategy!r}")
-    if strategy == "generalize_date" and not is_temporal(data_type):
-        return "hash"
-    return strategy
+    by_type = "generalize_date" if re.search(TEMPORAL, data_type.upper()) else "hash"
+    if strategy == "generalize_date":
+        return by_type
+    if strategy in STRATEGIES:
+        return strategy
+    return next((s for pattern, s in BY_NAME.items() if re.search(pattern, column.lower())), by_type)
+
+
+def masked_outputs(schema: T.StructType, policy: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(column, strategy, hint) of every masked column of a governed table."""
+    by = {k.lower(): v for k, v in policy.items()}
+    pairs = [(f.name, resolve(by[f.name.lower()], f.name, f.dataType.simpleString())) for f in schema if by.get(f.name.lower(), "deny") != "deny"]
+    return [(n, s, HINTS[s]) for n, s in pairs]
 
 
 def masked(column: Column, strategy: str, salt: str, data_type: T.DataType | None = None) -> Column:

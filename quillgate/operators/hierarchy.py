@@ -143,15 +143,18 @@ def _solve(rows: DataFrame, level: int, rows_per_task: int) -> DataFrame:
     closed = ended.join(needed, "node", "left_semi")
     tops = closed.select("node", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("steps"))
     solved = _solve(cut(quotient.unionByName(tops), f"quotient{level}"), level + 1, rows_per_task)
-    # A top of the quotient stands for what its own row ended in.
+    # A top of the quotient stands for what its own row ended in; a root may have very many rows below it.
+    rooted = solved.where(F.col("state") == ROOT)
+    below = rooted.groupBy("root").agg(F.count("*").alias("_n"))
     tops_end = closed.select(F.col("node").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("state").alias("_s"))
-    solved = solved.join(tops_end, "root", "left").select(
+    tops_end = cut(tops_end.join(below, "root"), f"tops{level}")
+    ended_at = join_groups(rooted, tops_end, ["root"], "_n", n).select(
         "node",
-        F.when(F.col("_s").isNull(), F.col("root")).otherwise(F.col("_r")).alias("root"),
-        F.when(F.col("_s").isNull(), F.col("depth")).when(F.col("_s") == ROOT, F.col("depth") + F.col("_d")).otherwise(-1).cast("bigint").alias("depth"),
-        F.when(F.col("_s").isNull(), F.col("state")).when(F.col("_s") == ROOT, ROOT)
-        .otherwise(F.when((F.col("_s") == ON_LOOP) & (F.col("depth") == 0), ON_LOOP).otherwise(LOOPED)).alias("state"),
-    )
+        F.col("_r").alias("root"),
+        F.when(F.col("_s") == ROOT, F.col("depth") + F.col("_d")).otherwise(-1).cast("bigint").alias("depth"),
+        F.when(F.col("_s") == ROOT, ROOT).when((F.col("_s") == ON_LOOP) & (F.col("depth") == 0), ON_LOOP).otherwise(LOOPED).alias("state"),
+    )
+    solved = ended_at.unionByName(solved.where(F.col("state") != ROOT))
     solved = cut(solved, f"solved{level}")
     exits = solved.select(F.col("node").alias("up"), "root", F.col("depth").alias("_d"), F.col("state").alias("_s"))
     exits = cut(exits.join(crowds, "up"), f"exits{level}")
@@ -209,14 +212,15 @@ def paths(edges: DataFrame, parent: str, child: str, rows_per_task: int = ROWS_P
     solved = cut(solve(edges, parent, child, rows_per_task), "solved")
     tree = solved.where("depth >= 0")
     greatest = tree.agg(F.max("depth")).first()[0] or 0
-    at = links(edges, parent, child).join(tree, "node").select("node", "root", "depth", F.col("up").alias("far"), F.array("node").alias("path"))
+    at = cut(links(edges, parent, child).join(tree, "node").select("node", "root", "depth", F.col("up").alias("far"), F.array("node").alias("path")), "paths")
     for _ in range(int(greatest).bit_length()):
-        at = cut(at, "paths")
+        # Rows that have reached their root stay out of the join; far ends with very many rows are joined apart.
+        going = at.where(F.col("far").isNotNull())
+        sizes = going.groupBy("far").agg(F.count("*").alias("_n"))
         ends = at.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("path").alias("_path"))
-        at = at.join(ends, "far", "left").select(
-            "node", "root", "depth", F.col("_far").alias("far"),
-            F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-        )
+        ends = cut(ends.join(sizes, "far"), "ends")
+        longer = join_groups(going, ends, ["far"], "_n", going.count()).select("node", "root", "depth", F.col("_far").alias("far"), F.concat("_path", "path").alias("path"))
+        at = cut(at.where(F.col("far").isNull()).unionByName(longer), "paths")
     return at.select("node", "root", "depth", "path")
 
 

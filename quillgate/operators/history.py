@@ -1,12 +1,14 @@
 """History of changing attributes as a type-two dimension (problem 4).
 
-State is two tables: ``observations``, a log of (attribute, urn, at, fact_id)
-with the value's hash, and ``versions``, the history itself. A batch of facts is
-merged by comparing attribute hashes with the current (open) versions: equal
-hashes only move ``seen_us``, a different one closes the open row with an end
-date and inserts a new open row. Keys for which the batch brings a compile not
-after the last one seen (late rows, corrections) have their versions rebuilt
-from their observations, as a late value may split or join old versions.
+State (:class:`History`): ``observations``, a log of (attribute, urn, at,
+fact_id) with the value and its hash; ``current``, the open versions, one row
+a key; and closed versions, tables that are only ever added to. A batch of
+facts is merged by comparing attribute hashes (then the values) with the open
+versions: equal ones only move ``seen_us``, a different one closes the open row
+with an end date and inserts a new open row. Keys for which the batch brings a
+compile not after the last one seen (late rows, corrections) have their
+versions rebuilt from their observations, as a late value may split or join
+old versions; their closed versions of earlier batches then no longer count.
 
 Every step is an aggregate or an equi-join on (attribute, urn); the order
 within a key is followed in time buckets, so a key with a third of all facts
@@ -15,6 +17,8 @@ is spread over many tasks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,52 +48,72 @@ def facts(rows: DataFrame, values: dict[str, Column], fact_id: str = "fact_id",
     )
 
 
+def _versions(line: DataFrame) -> DataFrame:
+    """attribute, urn, value, hash, from_us, to_us (null: open) of ordered rows (at_us, value, hash, _from)."""
+    content = F.struct("hash", "value")  # compared in this order: the value only where hashes are equal
+    line = cut(neighbour(line, KEY, "at_us", BUCKET_US, content, "_before"), "line")
+    starts = line.where(F.col("_before").isNull() | (F.col("_before") != content))
+    starts = cut(starts.select(*KEY, "value", "hash", F.coalesce("_from", "at_us").alias("from_us")), "starts")
+    return neighbour(starts, KEY, "from_us", BUCKET_US, F.col("from_us"), "to_us", following=True)
+
+
 def rebuild(observations: DataFrame) -> DataFrame:
     """versions of whole keys: attribute, urn, value, hash, from_us, to_us (null: open), seen_us."""
-    obs = neighbour(observations, KEY, "at_us", BUCKET_US, F.col("hash"), "_before")
-    starts = obs.where(F.col("_before").isNull() | (F.col("_before") != F.col("hash")))
-    starts = starts.withColumnRenamed("at_us", "from_us").select(*KEY, "value", "hash", "from_us")
-    ends = neighbour(starts, KEY, "from_us", BUCKET_US, F.col("from_us"), "to_us", following=True)
+    ends = _versions(observations.select(*KEY, "at_us", "value", "hash", F.lit(None).cast("bigint").alias("_from")))
     last = observations.groupBy(*KEY).agg(F.max("at_us").alias("seen_us"))
     return ends.join(last, KEY).select(*KEY, "value", "hash", "from_us", "to_us", "seen_us")
 
 
-def merge(versions: DataFrame, observations: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(versions, observations) after ``batch``, which is in the form of :func:`facts`."""
-    current = versions.where("to_us IS NULL")
+@dataclass
+class History:
+    observations: DataFrame
+    current: DataFrame
+    closed: list[DataFrame]  # of each batch: versions it closed
+    redone: list[DataFrame]  # of each batch: keys whose versions closed before no longer count
+
+    def versions(self) -> DataFrame:
+        out = self.current
+        for i, part in enumerate(self.closed):
+            for keys in self.redone[i + 1 :]:
+                part = part.join(keys, KEY, "left_anti")
+            out = out.unionByName(part)
+        return out
+
+
+def begin(batch: DataFrame) -> History:
+    made = cut(rebuild(batch), "versions")
+    return History(batch, made.where("to_us IS NULL"), [made.where("to_us IS NOT NULL")], [made.select(*KEY).limit(0)])
+
+
+def merge(history: History, batch: DataFrame) -> History:
+    """The history after ``batch``, which is in the form of :func:`facts`. Closed versions are not written again."""
+    current = history.current
     reach = batch.groupBy(*KEY).agg(F.min("at_us").alias("_low"), F.max("at_us").alias("_high"))
     touched = cut(reach.join(current.select(*KEY, "seen_us"), KEY, "left").withColumn("_late", F.coalesce(F.col("_low") <= F.col("seen_us"), F.lit(False))), "touched")
 
     # In order: the open version stands before the batch's rows as their predecessor.
-    calm = touched.where("NOT _late").select(*KEY, "_high")
+    calm, late = touched.where("NOT _late").select(*KEY, "_high"), touched.where("_late").select(*KEY)
     opening = current.join(calm, KEY, "left_semi").select(*KEY, F.col("seen_us").alias("at_us"), "value", "hash", F.col("from_us").alias("_from"))
     line = opening.unionByName(batch.join(calm, KEY, "left_semi").select(*KEY, "at_us", "value", "hash", F.lit(None).cast("bigint").alias("_from")))
-    line = neighbour(line, KEY, "at_us", BUCKET_US, F.col("hash"), "_before")
-    starts = line.where(F.col("_before").isNull() | (F.col("_before") != F.col("hash")))
-    starts = starts.select(*KEY, "value", "hash", F.coalesce("_from", "at_us").alias("from_us"))
-    closed = neighbour(starts, KEY, "from_us", BUCKET_US, F.col("from_us"), "to_us", following=True)
-    in_order = closed.join(calm, KEY).select(*KEY, "value", "hash", "from_us", "to_us", F.col("_high").alias("seen_us"))
+    in_order = _versions(line).join(calm, KEY).select(*KEY, "value", "hash", "from_us", "to_us", F.col("_high").alias("seen_us"))
 
     # Late: the keys' observations, corrected by the batch, are read again; the log itself only grows.
-    late = touched.where("_late").select(*KEY)
-    log = observations.unionByName(batch)
+    log = history.observations.unionByName(batch)
     held = (
         log.join(late, KEY, "left_semi")
         .groupBy(*KEY, "at_us")
         .agg(F.max(F.struct("fact_id", "value", "hash")).alias("h"))
         .select(*KEY, "at_us", "h.fact_id", "h.value", "h.hash")
     )
-    redone = rebuild(held)
-
-    past = versions.where("to_us IS NOT NULL").join(late, KEY, "left_anti")
+    new = cut(in_order.unionByName(rebuild(cut(held, "held"))), "versions")
     still = current.join(touched.select(*KEY), KEY, "left_anti")
-    new = past.unionByName(still).unionByName(in_order).unionByName(redone)
-    return cut(new, "versions"), log
+    opened = cut(still.unionByName(new.where("to_us IS NULL")), "current")
+    return History(log, opened, [*history.closed, new.where("to_us IS NOT NULL")], [*history.redone, late])
 
 
 def attribute_history(fact_tables: list[tuple[DataFrame, dict[str, Column]]], batches: int = 2) -> DataFrame:
     """The versions of all attributes, the facts merged in ``batches`` of arrival (fact_id)."""
-    versions = observations = None
+    history = None
     for i in range(batches):
         part = None
         for rows, values in fact_tables:
@@ -99,11 +123,8 @@ def attribute_history(fact_tables: list[tuple[DataFrame, dict[str, Column]]], ba
             f = facts(rows.where(F.col("fact_id").between(first, first + step - 1)), values)
             part = f if part is None else part.unionByName(f)
         part = cut(part, "facts")
-        if versions is None:
-            versions, observations = cut(rebuild(part), "versions"), part
-        else:
-            versions, observations = merge(versions, observations, part)
-    return versions
+        history = begin(part) if history is None else merge(history, part)
+    return history.versions()
 
 
 def catalog_history(dataset_facts: DataFrame, column_facts: DataFrame, batches: int = 2) -> DataFrame:

@@ -4,15 +4,20 @@ A catalog payload is a JSON tree whose writers changed its layout over time.
 The shapes are told apart bottom-up by a small tree automaton: the state of a
 node follows from its own kind and the states of its children
 (``schema_of_variant`` supplies the kind of a leaf or list, so a state never
-holds keys that are data). Every object is then routed to the typed reading of
-its variant, and all variants share one supertype table with the record id,
+holds keys that are data). The state routes a node to the typed reading of
+its subtype, and all subtypes share one supertype table with the record id,
 the parent's key and their own key:
 
-    label list   absent | null | empty | names | objects | mixed | bare | bare_object
+    label list   absent | null | empty | names | objects | mixed | bare | bare_object | other
     column       <listed|keyed>(tags, terms, editable)
     data set     <listed|keyed>(columns container)
 
-Everything is one pass of JVM expressions over the scan; only requests for
+``names`` are read as array<string>, ``objects`` as array<struct<urn, name>>,
+``bare`` as string, ``bare_object`` as struct<urn, name>, and only ``mixed``
+lists member by member. What no subtype takes (``other``: lists in lists) goes
+to :func:`rejects` instead of vanishing.
+
+Everything is JVM expressions over one scan of each table; only requests for
 distinct labels shuffle. Defined results: an invalid, null or empty payload
 gives no rows; members without a name or URN are left out of the tables below
 them; null and empty labels are no labels; extra columns of the input are
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgate.functions.columns import label_name
 
@@ -45,25 +51,37 @@ def label_state(node: Column) -> Column:
         .when(k == "ARRAY<VOID>", "empty")
         .when(k.startswith("ARRAY<OBJECT"), "objects")
         .when(k == "ARRAY<VARIANT>", "mixed")
+        .when(k.startswith("ARRAY<ARRAY"), "other")
         .when(k.startswith("ARRAY<"), "names")
         .when(k.startswith("OBJECT"), "bare_object")
         .otherwise("bare")
     )
 
 
+NAMED = "struct<urn string, name string>"
+
+
 def label_list(node: Column) -> Column:
-    """The labels of a node in any of the states, as an array of raw texts."""
+    """The labels of a node as an array of raw texts, by the typed reading of its state."""
 
     def one(x: Column) -> Column:
         k = _kind(x)
         return (
-            F.when(k.isNull() | (k == "VOID"), F.lit(None).cast("string"))
+            F.when(k.isNull() | (k == "VOID") | k.startswith("ARRAY"), F.lit(None).cast("string"))
             .when(k.startswith("OBJECT"), F.coalesce(_get(x, "$.urn", "string"), _get(x, "$.name", "string")))
             .otherwise(_get(x, "$", "string"))
         )
 
-    members = F.coalesce(_get(node, "$", "array<variant>"), F.array(node))
-    return F.filter(F.transform(members, one), lambda x: x.isNotNull() & (x != ""))
+    named = lambda x: F.coalesce(x["urn"], x["name"])
+    state = label_state(node)
+    raw = (
+        F.when(state == "names", _get(node, "$", "array<string>"))
+        .when(state == "objects", F.transform(_get(node, "$", f"array<{NAMED}>"), named))
+        .when(state == "bare", F.array(_get(node, "$", "string")))
+        .when(state == "bare_object", F.array(named(_get(node, "$", NAMED))))
+        .when(state == "mixed", F.transform(_get(node, "$", "array<variant>"), one))
+    )
+    return F.filter(F.coalesce(raw, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
 
 
 def _names(node: Column) -> Column:
@@ -166,6 +184,15 @@ def edges(records: DataFrame, rec_id: str = "snap_id", payload: str = "payload")
     )
 
 
+def rejects(records: DataFrame, rec_id: str = "snap_id", payload: str = "payload") -> DataFrame:
+    """rec_id, dataset_urn, column, path, schema of label nodes of a shape no subtype takes."""
+    rows = parsed(records, rec_id, payload).select("rec_id", F.explode(_members(F.col("doc"), "$.datasets", "urn")).alias("d"))
+    cols = rows.select("rec_id", F.col("d.key").alias("dataset_urn"), F.explode(_members(F.col("d.node"), "$.columns", "name")).alias("c"))
+    nodes = F.array(*[F.struct(F.lit(p).alias("path"), _get(F.col("c.node"), p, "variant").alias("node")) for p in ("$.tags", "$.terms", "$.editable.tags")])
+    flat = cols.select("rec_id", "dataset_urn", F.col("c.key").alias("column"), F.explode(nodes).alias("n"))
+    return flat.where(label_state(F.col("n.node")) == "other").select("rec_id", "dataset_urn", "column", "n.path", _kind(F.col("n.node")).alias("schema"))
+
+
 def verdicts(audit: DataFrame) -> DataFrame:
     """rec_id (line_no), ord, code, action, subject: one row per entry, null structs left out."""
     return (
@@ -203,23 +230,13 @@ def found(snapshots: DataFrame, audit: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    kept = F.array_distinct(
-        F.transform(
-            F.filter("verdicts", lambda v: v["code"].isNotNull()),
-            lambda v: F.struct(v["subject"].alias("parent"), v["code"].alias("child"), v["action"].alias("leaf")),
-        )
-    )
-    verdict_rows = audit.select(F.col("line_no").alias("rec_id"), F.explode(kept).alias("v")).select(
-        F.lit("verdict").alias("section"), "rec_id", "v.parent", "v.child", "v.leaf"
-    )
-    read_rows = reads(audit).select(
-        F.lit("read").alias("section"),
-        "rec_id",
-        F.col("dataset_urn").alias("parent"),
-        F.col("column").alias("child"),
-        F.lit("").alias("leaf"),
-    )
-    return label_rows.unionByName(verdict_rows).unionByName(read_rows)
+    row = lambda section, parent, child, leaf: F.struct(F.lit(section).alias("section"), parent.alias("parent"), child.alias("child"), leaf.alias("leaf"))
+    judged = F.array_distinct(F.transform(F.filter("verdicts", lambda v: v["code"].isNotNull()), lambda v: row("verdict", v["subject"], v["code"], v["action"])))
+    columns_of = lambda r: F.filter(F.array_distinct(F.transform(r["value"], F.lower)), lambda c: c.isNotNull())
+    read = F.flatten(F.transform(F.map_entries("column_reads"), lambda r: F.transform(columns_of(r), lambda c: row("read", r["key"], c, F.lit("")))))
+    none = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("section", "parent", "child", "leaf")])))
+    audit_rows = audit.select(F.col("line_no").alias("rec_id"), F.explode(F.concat(F.coalesce(judged, none), F.coalesce(read, none))).alias("r"))
+    return label_rows.unionByName(audit_rows.select("r.section", "rec_id", "r.parent", "r.child", "r.leaf"))
 
 
 def content_hashes(hashed: DataFrame) -> DataFrame:

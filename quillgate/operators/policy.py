@@ -9,12 +9,15 @@ least one wins.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations, groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgate.functions.columns import label_name, loose_upper
 from quillgate.operators import hierarchy
+from quillgate.operators.skew import join_groups
+from quillgate.session import cut
 
 # Precedence of actions, the strictest first.
 RANK = {"deny": 0, "mask": 1, "allow": 2, "substitute_certified": 3}
@@ -109,32 +112,64 @@ def column_rules(columns: DataFrame, rules: list[Rule]) -> DataFrame:
     return columns.withColumn("own", _best(rules, {"tag": F.col("tags"), "term": F.col("terms"), "domain": F.col("domain")}))
 
 
-def outcomes(columns: DataFrame, lineage: DataFrame, rules: list[Rule]) -> DataFrame:
-    """urn, dataset_urn, dataset, column, data_type, action, rule_id, strategy, source.
+def _strictest(ruled: DataFrame, lineage: DataFrame) -> DataFrame:
+    """urn, given, source: what each ungoverned column inherits, the strictest of its nearest governed ancestors.
 
-    A column without an own mask or deny inherits that of its nearest governed
-    ancestor. Cutting the lineage above governed columns and at unknown ends
-    turns "nearest governed" into "root", so the hierarchy operator answers it
-    in a logarithmic number of joins; loops inherit nothing.
+    Columns with one known upstream form trees that end in governed columns,
+    in columns with several upstreams or in nothing, and the hierarchy operator
+    finds that end for all of them at once. What is left are the columns with
+    several upstreams, each linked to the ends of theirs: there the strictest
+    label (then the smallest source) moves along the links, from changed
+    columns only, until nothing changes. A loop has no effect on a least label.
     """
-    ruled = column_rules(columns, rules).withColumn("governs", F.coalesce(F.col("own.action").isin("mask", "deny"), F.lit(False)))
     known = ruled.select("urn", "governs")
     edges = (
-        lineage.where("field_urn IS NOT NULL AND upstream_urn IS NOT NULL")
+        lineage.where("field_urn IS NOT NULL AND upstream_urn IS NOT NULL").select("field_urn", "upstream_urn").distinct()
         .join(known.where("NOT governs").select(F.col("urn").alias("field_urn")), "field_urn", "left_semi")
         .join(known.select(F.col("urn").alias("upstream_urn")), "upstream_urn", "left_semi")
-    )
-    roots = hierarchy.solve(edges, "upstream_urn", "field_urn").where("depth > 0").select(F.col("node").alias("urn"), "root")
-    givers = ruled.where("governs").select(F.col("urn").alias("root"), F.col("own").alias("given"), F.concat_ws(".", "dataset", "column").alias("source"))
-    inherited = roots.join(givers, "root").select("urn", "given", "source")
+    )
+    edges = cut(edges.join(edges.groupBy("field_urn").agg(F.count("*").alias("n_up")), "field_urn"), "upstreams")
+    ends = cut(hierarchy.solve(edges.where("n_up = 1"), "upstream_urn", "field_urn").where("depth >= 0").select(F.col("node").alias("urn"), F.col("root").alias("top"), "depth"), "ends")
+    given = ruled.where("governs").select("urn", F.struct(F.col("own.rank").alias("rank"), F.concat_ws(".", "dataset", "column").alias("source"), "own").alias("label"))
+    several = edges.where("n_up > 1").select(F.col("field_urn").alias("urn"), F.col("upstream_urn").alias("up"))
+    if not several.isEmpty():
+        looped = edges.where("n_up = 1").select(F.col("field_urn").alias("up")).join(ends.select(F.col("urn").alias("up")), "up", "left_anti")
+        links = several.join(looped, "up", "left_anti").join(ends.select(F.col("urn").alias("up"), "top"), "up", "left").select("urn", F.coalesce("top", "up").alias("top")).distinct()
+        links, given = cut(links, "links"), cut(given, "labels")
+        changed = given
+        while True:  # at most as many rounds as a path has columns with several upstreams
+            offered = links.join(changed.select(F.col("urn").alias("top"), "label"), "top").groupBy("urn").agg(F.min("label").alias("offer"))
+            changed = offered.join(given, "urn", "left").where(F.col("label").isNull() | (F.col("offer") < F.col("label"))).select("urn", F.col("offer").alias("label"))
+            changed = cut(changed, "changed")
+            if changed.isEmpty():
+                break
+            given = cut(given.join(changed.select("urn"), "urn", "left_anti").unionByName(changed), "labels")
+    below = ends.where("depth > 0").select("urn", "top")
+    sizes = below.groupBy("top").agg(F.count("*").alias("_n"))
+    heads = cut(given.withColumnRenamed("urn", "top").join(sizes, "top"), "heads")
+    inherited = join_groups(below, heads, ["top"], "_n", below.count()).select("urn", "label")
+    own_several = given.join(several.select("urn").distinct(), "urn", "left_semi")
+    return inherited.unionByName(own_several).select("urn", F.col("label.own").alias("given"), F.col("label.source").alias("source"))
+
+
+def outcomes(columns: DataFrame, lineage: DataFrame, rules: list[Rule], inherit: bool = True) -> DataFrame:
+    """urn, dataset_urn, dataset, column, data_type, action, rule_id, strategy, source.
+
+    A column without an own mask or deny inherits the strictest of its nearest
+    governed ancestors, of equally strict ones the one of the smallest source;
+    unknown upstreams are skipped, and loops alone give nothing. Without
+    ``inherit`` only own rules count.
+    """
+    ruled = column_rules(columns, rules).withColumn("governs", F.coalesce(F.col("own.action").isin("mask", "deny"), F.lit(False)))
+    if inherit:
+        ruled = cut(ruled, "ruled")
+        ruled = ruled.join(_strictest(ruled, lineage), "urn", "left")
+    else:
+        ruled = ruled.withColumn("given", F.lit(None).cast(ruled.schema["own"].dataType)).withColumn("source", F.lit(None).cast("string"))
     rule = F.when(F.col("governs"), F.col("own")).otherwise(F.coalesce("given", "own"))
-    return (
-        ruled.join(inherited, "urn", "left")
-        .withColumn("r", rule)
-        .select(
-            "urn", "dataset_urn", "dataset", "column", "data_type", "domain", "tags", "terms",
-            F.coalesce("r.action", F.lit("allow")).alias("action"), F.col("r.id").alias("rule_id"), F.col("r.strategy").alias("strategy"), "source",
-        )
+    return ruled.withColumn("r", rule).select(
+        "urn", "dataset_urn", "dataset", "column", "data_type", "domain", "tags", "terms",
+        F.coalesce("r.action", F.lit("allow")).alias("action"), F.col("r.id").alias("rule_id"), F.col("r.strategy").alias("strategy"), "source",
     )
 
 
@@ -152,6 +187,39 @@ def substitutes(datasets: DataFrame, lineage: DataFrame) -> DataFrame:
     return edges.join(old, "urn").join(good, "substitute").select("urn", "substitute", "ord")
 
 
+def out_of_scope(requests: DataFrame, datasets: DataFrame, scopes: list[Scope]) -> DataFrame:
+    """principal, urn, code 301, n_requests: data sets asked for outside the principal's reach.
+
+    ``requests`` is (principal, dataset_urn), a row per request and data set.
+    Data sets the catalog does not know have no domain or platform; principals
+    without a scope are not judged.
+    """
+    who = F.create_map(*[x for s in scopes for x in (F.lit(s.principal), s.permits(F.col("domain"), F.col("platform")))])
+    asked = requests.where(F.col("principal").isin(*[s.principal for s in scopes])).groupBy("principal", F.col("dataset_urn").alias("urn")).agg(F.count("*").alias("n_requests"))
+    return asked.join(datasets.select("urn", "domain", "platform"), "urn", "left").where(~F.element_at(who, F.col("principal"))).select("principal", "urn", F.lit(OUT_OF_SCOPE).alias("code"), "n_requests")
+
+
+SUBSTITUTED, SUBSTITUTE_LACKS, OUT_OF_SCOPE = 201, 202, 301  # Fixed values: reason numbers.
+
+
+def redirected(reads: DataFrame, picks: DataFrame) -> DataFrame:
+    """Reads with the data set really read: its substitute where one has all columns asked for.
+
+    ``reads`` is (request, dataset_urn, column), ``picks`` the substitutes with
+    their ``columns``, in order ``ord``. Adds effective_urn and code: 201 where
+    substituted, 202 where no substitute has all columns, null elsewhere. A
+    request's columns of one data set are judged together.
+    """
+    asked = reads.groupBy("request", "dataset_urn").agg(F.collect_set(F.lower("column")).alias("asked"))
+    shapes = asked.select("dataset_urn", F.array_sort("asked").alias("asked")).distinct()
+    offers = shapes.join(picks.select(F.col("urn").alias("dataset_urn"), "substitute", "ord", "columns"), "dataset_urn")
+    missing = F.size(F.array_except("asked", "columns"))
+    best = offers.groupBy("dataset_urn", "asked").agg(F.min(F.when(missing == 0, F.struct("ord", "substitute"))).alias("best"))
+    told = asked.withColumn("asked", F.array_sort("asked")).join(best.withColumn("_old", F.lit(True)), ["dataset_urn", "asked"], "left")
+    code = F.when(F.col("best").isNotNull(), SUBSTITUTED).when(F.col("_old"), SUBSTITUTE_LACKS)
+    return told.select("request", "dataset_urn", F.size("asked").cast("bigint").alias("n_columns"), F.coalesce("best.substitute", "dataset_urn").alias("effective_urn"), code.alias("code"))
+
+
 def covering(reads: DataFrame, columns: DataFrame, subs: DataFrame) -> DataFrame:
     """urn, substitute, n_missing: per deprecated data set the substitute lacking fewest of the columns
     read from it (then the first in lineage order). ``reads`` is (dataset_urn, column), any case."""
@@ -172,12 +240,11 @@ def name_index(datasets: DataFrame) -> DataFrame:
 
 
 def tie_conflicts(rules: list[Rule]) -> list[tuple[str, str]]:
-    """Pairs of rules of equal rank and breadth that differ in what they do (lint of the configuration)."""
+    """Pairs of rules between which only the id decides although they do different things (lint of the configuration)."""
+    level = lambda r: (RANK[r.action], len(r.conditions))
     out = []
-    for i, a in enumerate(rules):
-        for b in rules[i + 1 :]:
-            if RANK[a.action] == RANK[b.action] and len(a.conditions) == len(b.conditions) and (a.action, a.strategy) != (b.action, b.strategy):
-                out.append((a.id, b.id))
+    for _, equal in groupby(sorted(rules, key=level), key=level):
+        out += [(a.id, b.id) for a, b in combinations(equal, 2) if (a.action, a.strategy) != (b.action, b.strategy)]
     return out
 
 

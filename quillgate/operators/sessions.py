@@ -9,8 +9,8 @@ bounds the window that joins slots to sessions.
 
 :class:`SessionTable` keeps the result between batches. A batch's local
 sessions are compared with the stored sessions that lie within the gap,
-bridged ones are merged, and only the weeks that hold affected rows are
-written again; a new manifest then replaces the old one in one rename, so a
+bridged ones are merged, and only the weeks within the gap of a local session
+are written again; a new manifest then replaces the old one in one rename, so a
 reader or a restarted job sees the table before or after the batch, never
 between.
 """
@@ -70,8 +70,8 @@ def sessionize(events: DataFrame, gap_us: int = GAP_US) -> DataFrame:
 class SessionTable:
     """Sessions kept in ``path``, one folder per week of start and version."""
 
-    def __init__(self, spark: SparkSession, path: str, gap_us: int = GAP_US, files_per_week: int = 8):
-        self.spark, self.path, self.gap, self.files = spark, path.rstrip("/"), gap_us, files_per_week
+    def __init__(self, spark: SparkSession, path: str, gap_us: int = GAP_US):
+        self.spark, self.path, self.gap = spark, path.rstrip("/"), gap_us
         jvm = spark._jvm
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -121,16 +121,17 @@ class SessionTable:
         local_at = f"{self.path}/local-{version}"
         sessionize(fresh, self.gap).write.parquet(local_at)
         local = self.spark.read.schema(SESSION).parquet(local_at)
-        low, high = local.agg(F.min("start_us"), F.max("end_us")).first()
-        if low is None:
+        # One row per week that the batch has sessions in: what they span.
+        spans = local.groupBy(F.floor(F.col("start_us") / WEEK_US).alias("w")).agg(F.min("start_us").alias("low"), F.max("end_us").alias("high")).collect()
+        if not spans:
             return
-        first = low // WEEK_US
-        near = [w for w, (_, end) in m["weeks"].items() if int(w) * WEEK_US <= high + self.gap and (int(w) >= first or end >= low - self.gap)]
+        near = [w for w, (_, end) in m["weeks"].items() if any(int(w) * WEEK_US <= r.high + self.gap and end >= r.low - self.gap for r in spans)]
         stored = self._weeks(m, near)
         merged = merge_intervals(stored.unionByName(local), self.gap) if near else local
         rows = merged.withColumn("week", F.floor(F.col("start_us") / WEEK_US).cast("bigint"))
         out = f"{self.path}/v-{version}"
-        rows.repartition(F.col("week"), F.pmod(F.xxhash64("user"), F.lit(self.files))).write.partitionBy("week").parquet(out)
+        # Spark sizes the files: a week of very many sessions is split, small ones share a task.
+        rows.hint("rebalance", "week").write.partitionBy("week").parquet(out)
         ends = self.spark.read.parquet(out).groupBy("week").agg(F.max("end_us").alias("end_us")).collect()
         weeks = {w: v for w, v in m["weeks"].items() if w not in near}
         # A week outside the batch's reach keeps its folder, one inside is replaced as a whole.

@@ -1,7 +1,8 @@
 """Usage and audit analytics over the audit log.
 
 A request is counted once: of the lines with one request_id the first to
-arrive holds. Lines without a usable ts belong to no day. All are aggregates
+arrive holds. Requests without a usable ts belong to no day, and denied ones,
+which read nothing, are no usage. All are aggregates
 with map-side combining; distinct users and statements go through a second
 grouping instead of collecting a day's values in one place.
 """
@@ -18,30 +19,34 @@ TOP_SQL, SQL_CHARS, LEDGER = 5, 2000, 50
 
 
 def requests(audit: DataFrame) -> DataFrame:
-    """First line of every request: line_no, at_us, day, principal, status, statement, denied, dataset_urns, column_reads, snapshot_hash."""
-    rows = audit.where("request_id IS NOT NULL").select(
-        "request_id", "line_no", instant_us(F.col("ts")).alias("at_us"), F.lower(F.trim("principal")).alias("principal"), "status",
-        F.substring(F.coalesce("executed_sql", "original_sql"), 1, SQL_CHARS).alias("statement"), "denied", "snapshot_hash",
-        F.array_distinct(F.filter(F.coalesce("dataset_urns", F.array()), lambda u: u.isNotNull())).alias("dataset_urns"),
-        F.coalesce(F.map_entries("column_reads"), F.array()).alias("reads"),
+    """First line of every request: line_no, at_us, day, principal, status, statement, denied, dataset_urns, reads, snapshot_hash.
+
+    One scan and one aggregate: the line's fields travel as a struct, whose
+    first by line_no is kept before the shuffle too.
+    """
+    line = F.struct("ts", "principal", "status", F.coalesce("executed_sql", "original_sql").alias("statement"), "denied", "snapshot_hash", "dataset_urns", F.map_entries("column_reads").alias("reads"))
+    first = audit.where("request_id IS NOT NULL").groupBy("request_id").agg(F.min("line_no").alias("line_no"), F.min_by(line, "line_no").alias("v"))
+    rows = first.select(
+        "request_id", "line_no", instant_us(F.col("v.ts")).alias("at_us"), F.lower(F.trim("v.principal")).alias("principal"), "v.status", "v.statement",
+        F.coalesce("v.denied", F.lit(False)).alias("denied"), "v.snapshot_hash",
+        F.array_distinct(F.filter(F.coalesce("v.dataset_urns", F.array()), lambda u: u.isNotNull())).alias("dataset_urns"),
+        F.coalesce("v.reads", F.array()).alias("reads"),
     )
-    first = rows.groupBy("request_id").agg(F.min("line_no").alias("line_no"))
-    rows = rows.join(first, ["request_id", "line_no"], "left_semi")
     return rows.withColumn("day", (F.floor(F.col("at_us") / DAY_US) * (DAY_US // 1000)).cast("bigint"))
 
 
 def reads(audit: DataFrame) -> DataFrame:
-    """dataset_urn, day (bucket_ms, null without a usable ts), principal, statement, columns of each data set a request read."""
+    """dataset_urn, bucket_ms (day, null without a usable ts), line_no, principal, denied, statement, columns of each data set a request read."""
     return (
         requests(audit)
-        .select("day", "line_no", "principal", "statement", F.explode("reads").alias("r"))
-        .select(F.col("r.key").alias("dataset_urn"), F.col("day").alias("bucket_ms"), "line_no", "principal", "statement", F.array_distinct(F.transform("r.value", F.lower)).alias("columns"))
+        .select("day", "line_no", "principal", "denied", "statement", F.explode("reads").alias("r"))
+        .select(F.col("r.key").alias("dataset_urn"), F.col("day").alias("bucket_ms"), "line_no", "principal", "denied", "statement", F.array_distinct(F.transform("r.value", F.lower)).alias("columns"))
     )
 
 
 def reads_by_day(audit: DataFrame) -> DataFrame:
-    """The reads that belong to a day."""
-    return reads(audit).where("bucket_ms IS NOT NULL")
+    """The reads that count as usage of a day: those with a usable ts of requests that were not denied."""
+    return reads(audit).where("bucket_ms IS NOT NULL AND NOT denied")
 
 
 def daily(audit: DataFrame) -> DataFrame:
@@ -60,8 +65,13 @@ def by_column(audit: DataFrame) -> DataFrame:
 
 
 def top_sql(audit: DataFrame, top: int = TOP_SQL) -> DataFrame:
-    """The most frequent statements of each data set and day; ties go to the one seen first."""
-    counted = reads_by_day(audit).where("statement IS NOT NULL").groupBy("dataset_urn", "bucket_ms", "statement").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    """The most frequent statements of each data set and day; ties go to the one seen first.
+
+    Statements are counted by a 128-bit hash of their whole text; of each only
+    the first SQL_CHARS characters are shown.
+    """
+    rows = reads_by_day(audit).where("statement IS NOT NULL").select("dataset_urn", "bucket_ms", "line_no", F.md5("statement").alias("_h"), F.substring("statement", 1, SQL_CHARS).alias("statement"))
+    counted = rows.groupBy("dataset_urn", "bucket_ms", "_h").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.min("statement").alias("statement"))
     place = F.row_number().over(Window.partitionBy("dataset_urn", "bucket_ms").orderBy(F.desc("n"), "first_line"))
     best = counted.withColumn("place", place).where(F.col("place") <= top)
     return best.select("dataset_urn", "bucket_ms", F.col("place").cast("bigint").alias("place"), "statement", "n")
@@ -109,3 +119,20 @@ def replay(audit: DataFrame, outcomes: DataFrame) -> DataFrame:
     told = reads.join(now, ["dataset_urn", "column"], "left").withColumn("action", F.coalesce("action", F.lit("unknown")))
     per = told.groupBy("dataset_urn", "action", "line_no").agg(F.count("*").alias("n"))
     return per.groupBy("dataset_urn", "action").agg(F.sum("n").alias("n_reads"), F.count("*").alias("n_requests"))
+
+
+def merge_ledger(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The stored ledger of :func:`dataset_ledger` with that of later lines: counts add up, the latest line holds.
+
+    ``batch`` must hold requests the stored ledger has not seen. One aggregate
+    over both tables, a row per data set each.
+    """
+    both = batch if stored is None else stored.unionByName(batch)
+    last = F.max_by(F.struct("last_principal", "last_snapshot"), "last_line").alias("l")
+    sums = both.groupBy("dataset_urn").agg(F.sum("n_requests").alias("n_requests"), F.sum("denied_attempts").alias("denied_attempts"), F.max("last_line").alias("last_line"), last)
+    return sums.select("dataset_urn", "n_requests", "denied_attempts", "last_line", "l.last_principal", "l.last_snapshot")
+
+
+def resume_usage(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored day tallies (dataset_urn, bucket_ms, queries) continued by those of later requests, never started again from nothing."""
+    return stored.select("dataset_urn", "bucket_ms", "queries").unionByName(batch.select("dataset_urn", "bucket_ms", "queries")).groupBy("dataset_urn", "bucket_ms").agg(F.sum("queries").alias("queries"))

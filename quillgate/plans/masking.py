@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.functions import masks
+from quillgate.operators import policy
+from quillgate.operators.policy import Rule
+from quillgate.sources import catalog_file
 from quillgate.sources.tables import table
 
 SALT = "fixture-salt"
@@ -23,10 +26,41 @@ POLICY = {
     "events": {"user_id": "auto"},
     "lineitem": {}, "part": {}, "nation": {}, "region": {},
     "contacts": {"email": "auto", "phone": "auto", "c_name": "fixed_string", "note": "null"},
-    # Inherited from customer.c_name and customer.c_acctbal, of which these columns are copies.
-    "customer_report": {"contact": "hash", "balance": "deny"},
 }
 
+# customer_report's columns are copies of customer's and inherit their rules; customer_raw is deprecated in favour of customer.
+CATALOG = """
+datasets:
+  - name: main.customer
+    certified: true
+    columns: [{name: c_custkey, type: BIGINT}, {name: c_name, tags: [pii]}, {name: c_nationkey, type: INT}, {name: c_acctbal, type: DOUBLE, terms: [classification.ssn]}, {name: c_mktsegment}]
+  - name: main.customer_raw
+    deprecated: true
+    replaced_by: main.customer
+    columns: [{name: c_custkey, type: BIGINT}, {name: c_name, tags: [pii]}, {name: c_acctbal, type: DOUBLE, terms: [classification.ssn]}]
+  - name: main.customer_report
+    columns: [{name: c_custkey, type: BIGINT, derives_from: [main.customer.c_custkey]}, {name: contact, derives_from: [main.customer.c_name]}, {name: balance, type: DOUBLE, derives_from: [main.customer.c_name, main.customer.c_acctbal]}]
+"""
+RULES = [Rule("pii", "mask", "auto", tag="pii"), Rule("ssn", "deny", term="classification.ssn"), Rule("old", "substitute_certified", lifecycle="DEPRECATED")]
+
+
+def catalog_policy(spark: SparkSession, dataset: str) -> dict[str, str]:
+    """{column: strategy or 'deny'} of a data set of CATALOG, inherited rules included."""
+    t = catalog_file.load(spark, CATALOG)
+    rows = policy.outcomes(t["columns"], t["column_lineage"], RULES).where(F.col("dataset") == dataset).collect()  # a row per column of one data set
+    return {r.column: r.strategy if r.action == "mask" else "deny" for r in rows if r.action in ("mask", "deny")}
+
+
+def effective_table(spark: SparkSession, dataset: str, columns: list[str]) -> str:
+    """The table a read of ``dataset`` really goes to: a certified substitute that has all the columns."""
+    t = catalog_file.load(spark, CATALOG)
+    urn = t["datasets"].where(F.col("name") == dataset).first().urn
+    have = t["columns"].groupBy(F.col("dataset_urn").alias("substitute")).agg(F.collect_set(F.lower("column")).alias("columns"))
+    picks = policy.substitutes(t["datasets"], t["lineage"]).join(have, "substitute")
+    reads = spark.createDataFrame([(0, urn, c) for c in columns], "request int, dataset_urn string, column string")
+    to = policy.redirected(reads, picks).first().effective_urn
+    return t["datasets"].where(F.col("urn") == to).first().name.rpartition(".")[2]
+
 
 def governed_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The governed form of every table of the policy."""
@@ -36,11 +70,21 @@ def governed_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             "c_custkey", "c_name", F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@corp.com")).alias("email"),
             F.concat(F.lit("555-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("phone"), F.col("c_mktsegment").alias("note"),
         ),
-        "customer_report": customer.select("c_custkey", F.col("c_name").alias("contact"), F.col("c_acctbal").alias("balance")),
     }
     return {n: masks.governed(derived[n] if n in derived else table(spark, d, n), p, SALT) for n, p in POLICY.items()}
 
 
+def ruled_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The governed form of a table of CATALOG: redirected where deprecated, masked by own and inherited rules."""
+    customer = table(spark, d, "customer")
+    if name == "customer_report":
+        df = customer.select("c_custkey", F.col("c_name").alias("contact"), F.col("c_acctbal").alias("balance"))
+    else:
+        name = effective_table(spark, f"main.{name}", ["c_custkey", "c_name", "c_acctbal"])
+        df = table(spark, d, name)
+    return masks.governed(df, catalog_policy(spark, f"main.{name}"), SALT)
+
+
 _RAW = """
 gv_customer AS (SELECT c_custkey, md5('fixture-salt' || c_name) c_name, c_nationkey, CAST(NULL AS DOUBLE) c_acctbal, c_mktsegment FROM customer),
 gv_orders AS (SELECT * REPLACE (date_trunc('month', o_orderdate)::TIMESTAMP AS o_orderdate) FROM orders),
@@ -48,7 +92,8 @@ gv_supplier AS (SELECT * REPLACE (md5('fixture-salt' || s_name) AS s_name, md5('
 gv_events AS (SELECT * REPLACE (md5('fixture-salt' || user_id::VARCHAR) AS user_id) FROM events),
 gv_lineitem AS (SELECT * FROM lineitem), gv_part AS (SELECT * FROM part), gv_nation AS (SELECT * FROM nation), gv_region AS (SELECT * FROM region),
 gv_contacts AS (SELECT c_custkey, '***' c_name, left(lower(c_name), 1) || '***@corp.com' email, '***-' || right(lpad(c_custkey::VARCHAR, 7, '0'), 4) phone, CAST(NULL AS VARCHAR) note FROM customer),
-gv_customer_report AS (SELECT c_custkey, md5('fixture-salt' || c_name) contact, CAST(NULL AS DOUBLE) balance FROM customer)
+gv_customer_report AS (SELECT c_custkey, md5('fixture-salt' || c_name) contact, CAST(NULL AS DOUBLE) balance FROM customer),
+gv_customer_raw AS (SELECT * FROM gv_customer)
 """
 
 # name: statement, valid in both engines.
@@ -66,7 +111,16 @@ STATEMENTS = {
     "subquery_mask": "SELECT x.n, x.k FROM (SELECT c_name AS n, c_custkey AS k, c_mktsegment AS s FROM gv_customer) x WHERE x.s <> 'BUILDING'",
     "hash_group_by": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_types FROM gv_events GROUP BY user_id",
     "hash_count_distinct": "SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT event_type) AS n_types FROM gv_events",
-    "order_by_masked": "SELECT c_name, c_custkey FROM gv_customer ORDER BY c_name, c_custkey LIMIT 20",
+    "order_by_masked": "SELECT c_name, c_custkey, CAST(rank() OVER (ORDER BY c_name) AS BIGINT) AS place FROM gv_customer WHERE c_mktsegment = 'BUILDING'",
+    "sort_limit_masked": "SELECT c_name, c_custkey FROM gv_customer ORDER BY c_name, c_custkey LIMIT 20",
+    "lateral_join": "SELECT n.n_name, x.n, x.names FROM gv_nation n, LATERAL (SELECT count(*) AS n, count(DISTINCT c_name) AS names FROM gv_customer c WHERE c.c_nationkey = n.n_nationkey) x",
+    "using_join": "SELECT c_custkey, c_name, contact FROM gv_customer JOIN gv_customer_report USING (c_custkey)",
+    "natural_join": "SELECT c_custkey, c_mktsegment, contact FROM (SELECT c_custkey, c_mktsegment FROM gv_customer) NATURAL JOIN (SELECT c_custkey, contact FROM gv_customer_report)",
+    "group_by_ordinal": "SELECT c_mktsegment, c_name IS NULL AS no_name, count(*) AS n FROM gv_customer GROUP BY 1, 2",
+    "group_by_alias": "SELECT upper(c_mktsegment) AS segment, count(DISTINCT c_name) AS names FROM gv_customer GROUP BY segment",
+    "values_join": "SELECT v.label, count(*) AS n, min(c.c_name) AS first_name FROM gv_customer c JOIN (VALUES ('BUILDING', 'b'), ('MACHINERY', 'm')) AS v(segment, label) ON v.segment = c.c_mktsegment GROUP BY v.label",
+    "cte_shadows_table": "WITH gv_nation AS (SELECT c_nationkey AS k, c_name FROM gv_customer) SELECT k, count(DISTINCT c_name) AS names FROM gv_nation GROUP BY k",
+    "recursive_cte": "WITH RECURSIVE t(k) AS (SELECT CAST(0 AS BIGINT) UNION ALL SELECT k + 1 FROM t WHERE k < 24) SELECT t.k, count(c.c_name) AS n, count(DISTINCT c.c_name) AS names FROM t JOIN gv_customer c ON c.c_nationkey = t.k GROUP BY t.k",
     "union_mask": "SELECT c_name AS n FROM gv_customer UNION SELECT s_name FROM gv_supplier",
     "union_all_mask": "SELECT c_nationkey AS k, c_name AS n FROM gv_customer UNION ALL SELECT s_nationkey, s_name FROM gv_supplier",
     "intersect_mask": "SELECT c_name AS n FROM gv_customer INTERSECT SELECT contact FROM gv_customer_report",
@@ -88,7 +142,8 @@ STATEMENTS = {
     "filter_agg_clean": "SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS n, count(c_name) AS names FROM gv_customer GROUP BY c_nationkey",
     "distinct_mask": "SELECT DISTINCT user_id, event_type FROM gv_events",
     "transform_predicate": "SELECT c_custkey FROM gv_customer WHERE c_name LIKE 'a%'",
-    "substitute_join": "SELECT c.c_name, c.c_acctbal, o.o_totalprice, o.o_orderkey FROM gv_customer c JOIN gv_orders o ON o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 10",
+    "substitute_join": "SELECT c.c_name, c.c_acctbal, o.o_totalprice, o.o_orderkey FROM gv_customer_raw c JOIN gv_orders o ON o.o_custkey = c.c_custkey",
+    "substitute_read": "SELECT c_custkey, c_name, c_acctbal FROM gv_customer_raw",
     "lineage_inherited_mask": "SELECT c_custkey, contact FROM gv_customer_report",
     "lineage_inherited_deny": "SELECT c_custkey, balance FROM gv_customer_report",
     "month_revenue": "SELECT o.o_orderdate, n.n_name, count(*) AS n_lines, CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM gv_lineitem l JOIN gv_orders o ON l.l_orderkey = o.o_orderkey JOIN gv_customer c ON c.c_custkey = o.o_custkey JOIN gv_nation n ON n.n_nationkey = c.c_nationkey GROUP BY o.o_orderdate, n.n_name",
@@ -103,6 +158,9 @@ def _query(name: str):
         for n, df in governed_tables(spark, d).items():
             if f"gv_{n}" in STATEMENTS[name]:
                 df.createOrReplaceTempView(f"gv_{n}")
+        for n in ("customer_report", "customer_raw"):
+            if f"gv_{n}" in STATEMENTS[name]:
+                ruled_table(spark, d, n).createOrReplaceTempView(f"gv_{n}")
         return spark.sql(STATEMENTS[name])
 
     run.__name__ = name
@@ -115,5 +173,5 @@ def mask_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {n: _query(n) for n in STATEMENTS} | {"mask_shapes": mask_shapes}
-SQL = {n: (s if n == "raw_monitor" else (f"WITH {_RAW}, " + s[5:] if s.startswith("WITH ") else f"WITH {_RAW} {s}")) for n, s in STATEMENTS.items()}
+SQL = {n: (s if n == "raw_monitor" else (f"WITH {_RAW} SELECT * FROM ({s})" if s.startswith("WITH ") else f"WITH {_RAW} {s}")) for n, s in STATEMENTS.items()}
 SQL["mask_shapes"] = "SELECT count(*) AS n_rows, 0::BIGINT AS email, 0::BIGINT AS phone, 0::BIGINT AS c_name FROM customer"

@@ -36,6 +36,11 @@ def p1_columns(spark: SparkSession, d: str) -> DataFrame:
     return cols.select("rec_id", "dataset_urn", "name", "data_type", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("tags", "editable_tags", "terms")])
 
 
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Label nodes of a shape that no subtype takes."""
+    return nested.rejects(table(spark, d, "snapshots"))
+
+
 def p1_edges(spark: SparkSession, d: str) -> DataFrame:
     return nested.edges(table(spark, d, "snapshots"))
 
@@ -54,13 +59,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.found(table(spark, d, "lineage"), table(spark, d, "column_lineage"))
 
 
+def _paths(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {
+        "lineage": hierarchy.paths(table(spark, d, "lineage"), "src_urn", "dst_urn"),
+        "column_lineage": hierarchy.paths(table(spark, d, "column_lineage"), "upstream_urn", "field_urn"),
+    }
+
+
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    p = hierarchy.paths(table(spark, d, "lineage"), "src_urn", "dst_urn")
-    return p.select("node", "root", "depth", F.array_join("path", " > ").alias("path"))
+    a, b = (p.select(F.lit(g).alias("graph"), "node", "root", "depth", F.array_join("path", " > ").alias("path")) for g, p in _paths(spark, d).items())
+    return a.unionByName(b)
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendant_counts(hierarchy.paths(table(spark, d, "column_lineage"), "upstream_urn", "field_urn"))
+    a, b = (hierarchy.descendant_counts(p).withColumn("graph", F.lit(g)) for g, p in _paths(spark, d).items())
+    return a.unionByName(b)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -185,22 +198,28 @@ UNION ALL
 SELECT graph, node, '', -1, max(CASE WHEN cur = node THEN 1 ELSE 0 END)::BIGINT FROM w GROUP BY graph, node
 """,
     "p5_paths": """
-WITH RECURSIVE n AS (SELECT node, min(up) up FROM (
-  SELECT dst_urn node, src_urn up FROM lineage UNION ALL SELECT src_urn, NULL FROM lineage) WHERE node IS NOT NULL GROUP BY ALL),
+WITH RECURSIVE e AS (
+  SELECT 'lineage' graph, src_urn up, dst_urn node FROM lineage
+  UNION ALL SELECT 'column_lineage', upstream_urn, field_urn FROM column_lineage),
+n AS (SELECT graph, node, min(up) up FROM (
+  SELECT graph, node, up FROM e UNION ALL SELECT graph, up, NULL FROM e) WHERE node IS NOT NULL GROUP BY ALL),
 r AS (
-  SELECT node, node root, 0::BIGINT AS depth, node AS path FROM n WHERE up IS NULL
-  UNION ALL SELECT n.node, r.root, r.depth + 1, r.path || ' > ' || n.node FROM r JOIN n ON n.up = r.node)
-SELECT node, root, depth, path FROM r
+  SELECT graph, node, node root, 0::BIGINT AS depth, [node] AS path FROM n WHERE up IS NULL
+  UNION ALL SELECT n.graph, n.node, r.root, r.depth + 1, list_append(r.path, n.node) FROM r JOIN n ON n.graph = r.graph AND n.up = r.node)
+SELECT graph, node, root, depth, array_to_string(path, ' > ') AS path FROM r
 """,
     "p5_descendants": """
-WITH RECURSIVE n AS (SELECT node, min(up) up FROM (
-  SELECT field_urn node, upstream_urn up FROM column_lineage UNION ALL SELECT upstream_urn, NULL FROM column_lineage) WHERE node IS NOT NULL GROUP BY ALL),
+WITH RECURSIVE e AS (
+  SELECT 'lineage' graph, src_urn up, dst_urn node FROM lineage
+  UNION ALL SELECT 'column_lineage', upstream_urn, field_urn FROM column_lineage),
+n AS (SELECT graph, node, min(up) up FROM (
+  SELECT graph, node, up FROM e UNION ALL SELECT graph, up, NULL FROM e) WHERE node IS NOT NULL GROUP BY ALL),
 r AS (
-  SELECT node, node root, 0::BIGINT AS depth, [node] AS path FROM n WHERE up IS NULL
-  UNION ALL SELECT n.node, r.root, r.depth + 1, list_append(r.path, n.node) FROM r JOIN n ON n.up = r.node),
-d AS (SELECT a node, depth - i + 1 distance FROM (SELECT depth, unnest(path) a, generate_subscripts(path, 1) i FROM r) WHERE i <= depth)
-SELECT r.node, r.root, r.depth, count(d.node) AS n_descendants, count(CASE WHEN d.distance = 1 THEN 1 END) AS n_children
-FROM r LEFT JOIN d ON d.node = r.node GROUP BY r.node, r.root, r.depth
+  SELECT graph, node, node root, 0::BIGINT AS depth, [node] AS path FROM n WHERE up IS NULL
+  UNION ALL SELECT n.graph, n.node, r.root, r.depth + 1, list_append(r.path, n.node) FROM r JOIN n ON n.graph = r.graph AND n.up = r.node),
+d AS (SELECT graph, a node, depth - i + 1 distance FROM (SELECT graph, depth, unnest(path) a, generate_subscripts(path, 1) i FROM r) WHERE i <= depth)
+SELECT r.graph, r.node, r.root, r.depth, count(d.node) AS n_descendants, count(CASE WHEN d.distance = 1 THEN 1 END) AS n_children
+FROM r LEFT JOIN d ON d.graph = r.graph AND d.node = r.node GROUP BY r.graph, r.node, r.root, r.depth
 """,
     "p6_found": f"""
 WITH {_DATASETS},
@@ -251,6 +270,11 @@ SELECT 'column' AS level, lay || '(' || {_state('$.tags')} || ',' || {_state('$.
 UNION ALL
 SELECT 'dataset', layout || '(' || CASE WHEN json_type(json_extract(n, '$.columns')) = 'ARRAY' THEN 'list' WHEN json_type(json_extract(n, '$.columns')) = 'OBJECT' THEN 'map' ELSE 'none' END || ')', count(*) FROM ds GROUP BY 2
 """
+SQL["p1_rejects"] = f"""
+WITH {_DATASETS}
+SELECT snap_id AS rec_id, urn AS dataset_urn, name AS "column", '$.' || CASE kind WHEN 'editable_tags' THEN 'editable.tags' ELSE kind END AS path, 'ARRAY<ARRAY<STRING>>' AS schema
+FROM lists WHERE name <> '' AND json_type(v) = 'ARRAY' AND len(json_extract(v, '$[*]')) > 0 AND len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'ARRAY')) = 0
+"""
 SQL["p4_open_versions"] = f"""
 SELECT attribute, urn, max(CASE WHEN valid_to_us = -1 THEN fact_value END) AS fact_value, count(*) AS n_versions FROM ({SQL["p4_found"]}) GROUP BY 1, 2
 """
@@ -266,7 +290,12 @@ x AS (SELECT snap_id, g, k, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_ex
 SELECT snap_id AS rec_id, g AS graph, k AS urn, o->>'$' AS other, i AS ord FROM x WHERE json_type(o) = 'VARCHAR'
 """
 SQL["p7_streamed"] = SQL["p7_found"]
+# Groups of snapshots whose data sets are the same, one by one.
+CONTENT_SQL = SQL["p6_found"].split("SELECT z.snap_id")[0].replace("FROM q JOIN ds USING (snap_id)", "FROM (SELECT '' source_url, 0 seq, snap_id FROM s) q JOIN ds USING (snap_id)") + """,
+r AS (SELECT snap_id, list_sort(list([urn, v])) c FROM (SELECT snap_id, urn, v FROM o) GROUP BY 1)
+SELECT min(r.snap_id) AS first_snap, count(*) AS n_snapshots, count(DISTINCT hash) AS n_hashes FROM r JOIN snapshots USING (snap_id) GROUP BY c
+"""
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_variants, p1_datasets, p1_columns, p1_edges, p4_found, p4_open_versions, p5_found, p5_paths, p5_descendants, p6_found, p6_intervals, p7_found, p7_lengths, p7_streamed,
+    p1_found, p1_variants, p1_datasets, p1_columns, p1_rejects, p1_edges, p4_found, p4_open_versions, p5_found, p5_paths, p5_descendants, p6_found, p6_intervals, p7_found, p7_lengths, p7_streamed,
 )}

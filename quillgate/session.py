@@ -2,8 +2,8 @@
 
 Intermediate tables live in the folder the cluster names in
 ``spark.checkpoint.dir``, which every executor can reach; losing an executor
-never loses them. Only where that setting is absent (tests, a laptop) a
-temporary folder is taken.
+never loses them. Only local sessions (tests, a laptop) may leave that setting
+out and get a temporary folder.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session that sets none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-quillgate-")

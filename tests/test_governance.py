@@ -67,6 +67,42 @@ def test_outcomes_inherit_along_lineage(spark):
     assert got["db.users", "id"] == ("allow", None, None) and got["db.users", "email"] == ("mask", "pii", None)
 
 
+MANY = """
+datasets:
+  - name: db.raw
+    columns: [{name: email, tags: [PII]}, {name: ssn, terms: [Classification.SSN]}, {name: id}]
+  - name: db.a
+    columns: [{name: clean}, {name: both, derives_from: [db.a.clean, db.raw.ssn]}, {name: mixed, derives_from: [db.raw.email, db.raw.ssn]}, {name: masked, derives_from: [db.raw.id, db.raw.email]}]
+  - name: db.b
+    columns: [{name: far, derives_from: [db.a.both]}, {name: deep, derives_from: [db.b.far, db.raw.email]}, {name: x, derives_from: [db.b.y, db.a.masked]}, {name: y, derives_from: [db.b.x, db.raw.id]}, {name: p, derives_from: [db.b.q]}, {name: q, derives_from: [db.b.p]}, {name: r, derives_from: [db.b.p, db.a.clean]}]
+"""
+
+
+def test_strictest_of_several_upstreams(spark):
+    t = catalog_file.load(spark, MANY)
+    got = {r.column: (r.action, r.source) for r in policy.outcomes(t["columns"], t["column_lineage"], RULES).collect()}
+    deny, mask, allow = ("deny", "db.raw.ssn"), ("mask", "db.raw.email"), ("allow", None)
+    assert {k: got[k] for k in ("both", "mixed", "far", "deep")} == dict.fromkeys(("both", "mixed", "far", "deep"), deny)
+    assert {k: got[k] for k in ("masked", "x", "y")} == dict.fromkeys(("masked", "x", "y"), mask)
+    assert {k: got[k] for k in ("clean", "id", "p", "q", "r")} == dict.fromkeys(("clean", "id", "p", "q", "r"), allow)
+    off = {r.column: r.action for r in policy.outcomes(t["columns"], t["column_lineage"], RULES, inherit=False).collect()}
+    assert {k for k, v in off.items() if v != "allow"} == {"email", "ssn"}
+
+
+def test_reads_of_deprecated_sets_are_redirected(spark):
+    reads = spark.createDataFrame([(1, "old", "A"), (1, "old", "b"), (2, "old", "c"), (3, "new", "a"), (4, "old", "a")], "request bigint, dataset_urn string, column string")
+    picks = spark.createDataFrame([("old", "slim", 0, ["a"]), ("old", "full", 1, ["a", "b"])], "urn string, substitute string, ord int, columns array<string>")
+    got = {(r.request, r.dataset_urn): (r.effective_urn, r.code) for r in policy.redirected(reads, picks).collect()}
+    assert got == {(1, "old"): ("full", 201), (2, "old"): ("old", 202), (3, "new"): ("new", None), (4, "old"): ("slim", 201)}
+
+
+def test_requests_out_of_scope(spark):
+    sets = spark.createDataFrame([("u1", "Grid", "snowflake"), ("u2", None, "postgres")], "urn string, domain string, platform string")
+    asked = spark.createDataFrame([("a", "u1"), ("a", "u2"), ("a", "u2"), ("a", "u3"), ("b", "u2"), (None, "u1")], "principal string, dataset_urn string")
+    got = sorted((r.urn, r.code, r.n_requests) for r in policy.out_of_scope(asked, sets, [Scope("a", frozenset({"Grid"}))]).collect())
+    assert got == [("u2", 301, 2), ("u3", 301, 1)]
+
+
 def test_coverage(spark):
     t = catalog_file.load(spark, CATALOG)
     o = policy.outcomes(t["columns"], t["column_lineage"], RULES)
@@ -117,12 +153,53 @@ def test_audit_log_and_usage(spark, tmp_path):
     (tmp_path / "log" / "bad.json").write_text("{broken\n")
     log = audit_log.normalized(audit_log.read(spark, path))
     assert {r.request_id: (r.subjects, r.denied) for r in log.collect()} == {"r1": (["s1", "s2"], False), "r2": ([], True)}
-    assert [tuple(r) for r in usage.daily(log).select("dataset_urn", "queries", "unique_users").collect()] == [("u", 2, 2)]
-    assert [tuple(r) for r in usage.top_sql(log).select("statement", "n", "place").collect()] == [("q", 2, 1)]
-    assert [tuple(r) for r in usage.by_column(log).select("column", "queries").collect()] == [("x", 2)]
+    # The denied request is no usage.
+    assert [tuple(r) for r in usage.daily(log).select("dataset_urn", "queries", "unique_users").collect()] == [("u", 1, 1)]
+    assert [tuple(r) for r in usage.top_sql(log).select("statement", "n", "place").collect()] == [("q", 1, 1)]
+    assert [tuple(r) for r in usage.by_column(log).select("column", "queries").collect()] == [("x", 1)]
     assert usage.dataset_ledger(log).first().denied_attempts == 1
 
 
+def test_ledger_merges_and_usage_resumes(spark):
+    kind = "dataset_urn string, n_requests bigint, denied_attempts bigint, last_line bigint, last_principal string, last_snapshot string"
+    old, new = spark.createDataFrame([("u", 3, 1, 9, "a", "s1"), ("v", 1, 0, 2, "b", "s1")], kind), spark.createDataFrame([("u", 2, 2, 12, "c", "s2"), ("w", 1, 0, 11, None, "s2")], kind)
+    assert sorted(tuple(r) for r in usage.merge_ledger(old, new).collect()) == [("u", 5, 3, 12, "c", "s2"), ("v", 1, 0, 2, "b", "s1"), ("w", 1, 0, 11, None, "s2")]
+    assert usage.merge_ledger(None, new).count() == 2
+    day = "dataset_urn string, bucket_ms bigint, queries bigint"
+    resumed = usage.resume_usage(spark.createDataFrame([("u", 1, 40)], day), spark.createDataFrame([("u", 1, 1), ("u", 2, 5)], day))
+    assert sorted(tuple(r) for r in resumed.collect()) == [("u", 1, 41), ("u", 2, 5)]
+
+
+def test_streamed_usage_over_several_files_and_days(spark, tmp_path):
+    """Redelivered on another day, earlier than what was seen before, denied, without a day: as the batch operators."""
+    from quillgate.streaming import incremental
+
+    kind = "line_no bigint, request_id string, ts string, principal string, status string, original_sql string, executed_sql string, snapshot_hash string, denied boolean, dataset_urns array<string>, column_reads map<string,array<string>>"
+    line = lambda n, r, ts, who="a", denied=False: (n, r, ts, who, "executed", "q", None, "s", denied, ["u"], {"u": ["x"], "v": ["y"]})
+    files = [
+        [line(1, "r1", "2020-01-01T01:00:00Z"), line(2, "r2", "2020-01-02T01:00:00Z")],
+        [line(5, "r1", "2020-01-02T01:00:00Z"), line(6, "r3", "2020-01-03T01:00:00Z", "b")],
+        [line(4, "r3", "2020-01-02T09:00:00Z", "b"), line(7, "r4", "2020-01-02T09:00:00Z", denied=True)],
+        [line(3, "r2", "2020-01-05T09:00:00Z"), line(8, "r5", "soon"), line(9, "r5", "2020-01-01T09:00:00Z")],
+        [line(10, "r6", "2020-01-01T23:00:00Z", "c")],
+    ]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/log/part{k}.parquet")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/log/*")
+    incremental.daily_usage(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination()
+    got = spark.read.schema("dataset_urn string, queries bigint, unique_users bigint, bucket_ms bigint").parquet(f"file://{tmp_path}/out/days").where("queries > 0")
+    want = usage.daily(spark.createDataFrame([r for f in files for r in f], kind))
+    key = lambda df: sorted((r.dataset_urn, r.bucket_ms, r.queries, r.unique_users) for r in df.collect())
+    assert key(got) == key(want) and sum(r[2] for r in key(want)) == 8
+
+
+def test_long_statements_count_by_their_whole_text(spark):
+    same = "select " + "x, " * 1000
+    rows = [(k, f"r{k}", "2020-01-01T01:00:00Z", same + str(k % 2), {"u": ["x"]}) for k in range(5)]
+    log = spark.createDataFrame(rows, "line_no bigint, request_id string, ts string, original_sql string, column_reads map<string,array<string>>").selectExpr("*", "'a' principal", "'executed' status", "null executed_sql", "null denied", "'s' snapshot_hash", "array('u') dataset_urns")
+    assert sorted((r.n, len(r.statement)) for r in usage.top_sql(log).collect()) == [(2, 2000), (3, 2000)]
+
+
 def test_dbapi_source(spark, tmp_path):
     import sqlite3
 
@@ -154,6 +231,20 @@ def test_decision_of_a_use(spark, action, inherited, context, in_aggregate, want
         assert df.select(decide.verdict(F.col("a"), F.col("i"), F.col("c"), F.col("g"), True).alias("v")).first().v.effect == "note"
 
 
+@pytest.mark.parametrize("style, want", [("qmark", ("?", "?", (3, 9))), ("format", ("%s", "%s", (3, 9))), ("numeric", (":1", ":2", (3, 9))), ("named", (":p1", ":p2", {"p1": 3, "p2": 9})), ("pyformat", ("%(p1)s", "%(p2)s", {"p1": 3, "p2": 9}))])
+def test_parameter_styles(style, want):
+    assert warehouse.bound(style, 3, 9) == want
+    assert warehouse.bound(style, None, 9)[1] == want[0]
+
+
+def test_masked_outputs_have_hints(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("Email", "string").add("born", "date").add("ssn", "string").add("id", "long")
+    got = masks.masked_outputs(schema, {"email": "auto", "BORN": "auto", "ssn": "deny", "absent": "hash"})
+    assert [x[:2] for x in got] == [("Email", "partial_email"), ("born", "generalize_date")] and all(x[2] == masks.HINTS[x[1]] for x in got)
+
+
 def test_run_caps_and_stops(spark):
     from quillgate.plans import run
 

@@ -61,3 +61,11 @@ def test_edges_and_long_payload(spark):
     s = snapshots(spark, [json.dumps(payload)])
     assert sorted((r.graph, r.urn, r.other, r.ord) for r in nested.edges(s).collect()) == [("column_lineage", "x", "y", 0), ("lineage", "a", "b", 0), ("lineage", "a", "c", 1)]
     assert nested.columns(nested.datasets(s)).agg(F.count("*")).first()[0] == 3000
+
+
+def test_lists_in_lists_are_rejected_not_lost(spark):
+    payload = '{"datasets": {"u": {"columns": [{"name": "a", "tags": [["x"]], "terms": ["t"]}, {"name": "b", "tags": [{"urn": "urn:li:tag:y"}, {"name": "z"}], "editable": {"tags": {"name": "w"}}}]}}}'
+    snaps = spark.createDataFrame([(1, payload), (2, "{"), (3, None)], "snap_id bigint, payload string")
+    assert [tuple(r) for r in nested.rejects(snaps).collect()] == [(1, "u", "a", "$.tags", "ARRAY<ARRAY<STRING>>")]
+    got = sorted((r.column, r.kind, r.label) for r in nested.labels(nested.columns(nested.datasets(snaps))).collect())
+    assert got == [("a", "terms", "t"), ("b", "editable_tags", "w"), ("b", "tags", "y"), ("b", "tags", "z")]

@@ -25,7 +25,7 @@ def brute(events, gap=sessions.GAP_US):
 def test_batches_bridge_and_late_events(spark, seed, tmp_path):
     rng = random.Random(seed)
     events = [(f"e{i}", rng.choice("ab") if rng.random() < 0.8 else "hot", rng.randrange(0, 3000) * 15 * M) for i in range(400)]
-    table = sessions.SessionTable(spark, f"file://{tmp_path}/t", files_per_week=2)
+    table = sessions.SessionTable(spark, f"file://{tmp_path}/t")
     for k in range(4):
         batch = events[k::4] + rng.sample(events[: k + 1], 1) * 2  # and some delivered again
         table.merge(spark.createDataFrame(batch, "event_id string, user string, at_us bigint"))
@@ -33,6 +33,19 @@ def test_batches_bridge_and_late_events(spark, seed, tmp_path):
     assert sorted(tuple(r) for r in table.sessions().select("user", "start_us", "end_us", "n").collect()) == brute(events)
 
 
+def test_a_late_line_rewrites_its_own_week_only(spark, tmp_path):
+    week = sessions.WEEK_US
+    table = sessions.SessionTable(spark, f"file://{tmp_path}/t")
+    kind = "event_id string, user string, at_us bigint"
+    table.merge(spark.createDataFrame([(f"e{i}", "ab"[i % 2], i * week // 3 + week // 7) for i in range(30)], kind))
+    before = table._manifest()["weeks"]
+    # One line of today, and one of the third week.
+    table.merge(spark.createDataFrame([("new", "a", 10 * week + 5), ("late", "b", 2 * week + week // 2)], kind))
+    after = table._manifest()["weeks"]
+    assert {w for w in after if after[w] != before.get(w)} == {"2", "10"}
+    assert table.sessions().count() == 32
+
+
 def test_gap_is_inclusive_and_ties(spark):
     df = spark.createDataFrame([("u", 0), ("u", 0), ("u", 30 * M), ("u", 60 * M + 1)], "user string, at_us bigint")
     assert sorted(tuple(r) for r in sessions.sessionize(df).collect()) == [("u", 0, 30 * M, 3), ("u", 60 * M + 1, 60 * M + 1, 1)]
