@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillgate.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BLOCK_PAGES, SHARDS, SEED = 64, 16, 2024
+BLOCK_PAGES, MOST_BLOCKS, SHARDS, SEED = 64, 100_000_000, 16, 2024
 _RANGE = 1 << 32
 
 
@@ -102,8 +102,12 @@ def plan(stats: list, total: float | None = None) -> tuple[float, dict[str, dict
         quota = min(total * share[r.source], float(r.n_tokens * r.max_repeats))
         copies = min(int(quota // r.n_tokens), r.max_repeats)
         rest = 0.0 if copies == r.max_repeats else quota - copies * r.n_tokens
-        blocks = max(1, -(-r.n_pages // BLOCK_PAGES))
-        out[r.source] = {"quota": quota, "copies": copies, "rest": rest, "blocks": blocks}
+        out[r.source] = {"quota": quota, "copies": copies, "rest": rest}
+    # Blocks hold BLOCK_PAGES pages, or as many as keep the number of blocks within what can be drawn from.
+    uses = sum(r.n_pages * (out[r.source]["copies"] + 1) for r in usable)
+    per_block = max(BLOCK_PAGES, -(-uses // MOST_BLOCKS))
+    for r in usable:
+        out[r.source]["blocks"] = max(1, -(-r.n_pages // per_block))
     return total, out
 
 
@@ -161,10 +165,12 @@ def mix(pages: DataFrame, targets: DataFrame, total: float | None = None, shards
     dealt = split_quotas(n_blocks, shards, seed)
     rows = []
     for k, s in enumerate(names):
-        step = next(a for a in range(max(1, int(n_blocks[k] * 0.618)), 2 * n_blocks[k] + 2) if gcd(a, n_blocks[k]) == 1)
-        rows.append((s, n_blocks[k], step, [int(x) for x in np.cumsum(dealt[:, k])]))
-    deal = spark.createDataFrame(rows, "source string, n_blocks bigint, step bigint, cuts array<bigint>")
-    used = used.join(F.broadcast(deal), "source").withColumn("_o", F.pmod((F.col("copy") * F.col("blocks") + F.col("block")) * F.col("step"), F.col("n_blocks")))
+        # What is in a block is random by the hash of its pages, so any one-to-one order of the blocks is a shuffle.
+        rng = np.random.default_rng([seed, k])
+        step = next(a for a in range(int(rng.integers(1, n_blocks[k] + 1)), 2 * n_blocks[k] + 2) if gcd(a, n_blocks[k]) == 1)
+        rows.append((s, n_blocks[k], step, int(rng.integers(n_blocks[k])), [int(x) for x in np.cumsum(dealt[:, k])]))
+    deal = spark.createDataFrame(rows, "source string, n_blocks bigint, step bigint, first bigint, cuts array<bigint>")
+    used = used.join(F.broadcast(deal), "source").withColumn("_o", F.pmod((F.col("copy") * F.col("blocks") + F.col("block")) * F.col("step") + F.col("first"), F.col("n_blocks")))
     return used.select(
         F.size(F.filter("cuts", lambda x: x <= F.col("_o"))).alias("shard"),
         F.xxhash64("doc_id", "copy", F.lit(seed + 1)).alias("place"),
@@ -183,6 +189,11 @@ def shares(pages: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
     )
 
 
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """Writes :func:`mix` as one folder per shard, its files in the order of place, a shard's later files after its earlier."""
+    mixed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+
+
 def counted(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Token counts of the pages that have a target, written once and read by every later step."""
     names = targets.select("source").where("source IS NOT NULL").distinct()

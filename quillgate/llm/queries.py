@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgate.llm import formats, leaks, mixing, pairs, spans
@@ -28,7 +28,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.scored(table(spark, d, "audit"), least=5).drop("lift")
+    return pairs.scored(table(spark, d, "audit"), least=5)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +61,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(pages, targets, mixing.mix(pages, targets))
 
 
+def p9_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Shares when as many tokens are asked for as all the target sources hold: what the caps leave short."""
+    targets = table(spark, d, "mix_targets")
+    pages = mixing.counted(table(spark, d, "documents"), targets)
+    total = pages.agg(F.sum("n_tokens")).first()[0]
+    asked = F.col("target_share") / F.sum(F.when(F.col("n_tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(0))) * F.lit(float(total or 0))  # a row per target
+    return mixing.shares(pages, targets, mixing.mix(pages, targets, total)).withColumn("short_tokens", F.round(F.greatest(F.lit(0.0), asked - F.col("used_tokens"))).cast("bigint"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.found(table(spark, d, "documents"))
 
@@ -70,6 +79,11 @@ def p10_repeated(spark: SparkSession, d: str) -> DataFrame:
     return spans.covered(spans.windows(table(spark, d, "documents"))).where("repeated_chars > 0")
 
 
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Characters in runs of three sentences that stand elsewhere too, and in those that are not the first of their kind."""
+    return spans.sentence_spans(table(spark, d, "documents"))
+
+
 _PAIRS = """
 WITH u AS (
   SELECT DISTINCT 'column_reads' origin, request_id r, e.key dataset, lower(c) item FROM (
@@ -115,7 +129,16 @@ SELECT doc_id, sum(least(200, coalesce(i - p, 200)))::BIGINT AS shared_chars, su
 FROM s GROUP BY doc_id HAVING count(CASE WHEN f < doc_id THEN 1 END) > 0
 """,
     "p3_found": _PAIRS + "SELECT origin, dataset, column_a, column_b FROM f WHERE n_ab * n_records >= 2 * n_a * n_b",
-    "p3_scores": _PAIRS + "SELECT * FROM f",
+    "p3_scores": _PAIRS + "SELECT *, (n_ab * n_records)::DOUBLE / (n_a * n_b)::DOUBLE AS lift FROM f",
+    "p10_sentences": """
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]+[ \\n\\t\\r]*|[^.!?]+\\z') s FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+r AS (SELECT doc_id, i, md5(s[i + 1] || s[i + 2] || s[i + 3]) h FROM (SELECT doc_id, s, unnest(range(0, len(s) - 2)) i FROM p)),
+g AS (SELECT h, min({'d': doc_id, 'i': i}) f, max(doc_id) l FROM r GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, j, bool_or(elsewhere) elsewhere, bool_or(later) later FROM (
+  SELECT doc_id, unnest(range(i, i + 3)) j, f.d <> l elsewhere, f <> {'d': doc_id, 'i': i} later FROM r JOIN g USING (h)) GROUP BY 1, 2)
+SELECT m.doc_id, max(len(s)) AS n_sentences, coalesce(sum(length(s[j + 1])) FILTER (elsewhere), 0)::BIGINT AS shared_chars, coalesce(sum(length(s[j + 1])) FILTER (later), 0)::BIGINT AS repeated_chars
+FROM m JOIN p ON p.doc_id = m.doc_id GROUP BY 1
+""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items, p8_reworded, p9_mix, p9_shares, p10_found, p10_repeated)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_collisions, p3_found, p3_scores, p8_found, p8_items, p8_reworded, p9_mix, p9_shares, p9_capped, p10_found, p10_repeated, p10_sentences)}

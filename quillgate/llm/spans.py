@@ -18,6 +18,10 @@ keep the first) is unchanged.
    This is exact per window, for groups of any size, without pairs of pages.
 4. A page's windows are united: gaps between their starts give the number of
    characters covered.
+
+The sliding runs of whole sentences are here too (:func:`sentence_spans`), for
+what they are good at: removing repeated sentences as a whole. How much of the
+required result they would find is measured in the README.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from quillgate.operators.skew import join_groups
 from quillgate.session import cut
 
-LEAST, GRAM, SLICE = 200, 48, 1_000_000
+LEAST, GRAM, SLICE, RUN = 200, 48, 1_000_000, 3
+SENTENCE = r"[^.!?]*[.!?]+[ \n\t\r]*|[^.!?]+\z"  # up to its mark and the space behind it; nothing is lost in between
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -175,3 +180,27 @@ def covered(shared: DataFrame, least: int = LEAST) -> DataFrame:
 
 def found(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return covered(windows(documents, least), least).select("doc_id", "shared_chars")
+
+
+def sentence_spans(documents: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, n_sentences, shared_chars, repeated_chars by runs of ``run`` consecutive sentences.
+
+    Every run is hashed to 128 bits and joined globally. shared_chars are the
+    characters of sentences in any run that another page has; repeated_chars
+    those of sentences covered by any run that is not the first of its kind
+    (by doc_id, then place), which removing repeats would take away. Pages
+    without a repeated run, null texts and rows without an id are left out;
+    a page of fewer sentences than ``run`` has no run.
+    """
+    pages = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)).alias("s"))
+    at = F.when(F.size("s") >= run, F.sequence(F.lit(0), F.size("s") - run)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(at, lambda i: F.struct(i.alias("i"), F.md5(F.array_join(F.slice("s", i + 1, run), "")).alias("h")))
+    runs = cut(pages.select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.i", "r.h"), "runs")
+    groups = runs.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.max("doc_id").alias("_last"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    groups = cut(groups.select("h", "first", (F.col("first.doc_id") != F.col("_last")).alias("elsewhere"), "n_rows"), "repeats")
+    hit = join_groups(runs, groups, ["h"], "n_rows", runs.count())
+    marks = hit.select("doc_id", F.explode(F.sequence(F.col("i"), F.col("i") + run - 1)).alias("j"), "elsewhere", (F.col("first") != F.struct("doc_id", "i")).alias("later"))
+    marks = marks.groupBy("doc_id", "j").agg(F.bool_or("elsewhere").alias("elsewhere"), F.bool_or("later").alias("later"))
+    sentences = pages.select("doc_id", F.size("s").alias("n"), F.posexplode(F.transform("s", F.length)).alias("j", "chars"))
+    count = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("chars"))), F.lit(0)).cast("bigint").alias("shared_chars" if c == "elsewhere" else "repeated_chars")
+    return sentences.join(marks, ["doc_id", "j"]).groupBy("doc_id").agg(F.max("n").cast("bigint").alias("n_sentences"), count("elsewhere"), count("later"))

@@ -5,6 +5,8 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillgate.llm import mixing
 
 PAGES = "doc_id bigint, source string, n_tokens bigint, copies int, block int"
@@ -76,3 +78,29 @@ def test_empty_tables(spark):
     assert [r.actual_share for r in mixing.shares(none, t, mixing.mix(none, t)).collect()] == [0.0]
     p, _ = pages(spark, {"a": 5})
     assert mixing.mix(p, spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_quotas_beyond_a_thousand_million_blocks():
+    rows = [SimpleNamespace(source=s, target_share=w, max_repeats=3, n_pages=n, n_tokens=n * 500) for s, w, n in (("a", 0.7, 40_000_000_000_000), ("b", 0.3, 10**12))]
+    total, quota = mixing.plan(rows, None)
+    blocks = [q["blocks"] * (q["copies"] + 1) for q in quota.values()]
+    assert sum(blocks) <= 2 * mixing.MOST_BLOCKS
+    dealt = mixing.split_quotas(blocks, 16)
+    assert dealt.sum(axis=0).tolist() == blocks and np.ptp(dealt.sum(axis=1)) <= 1
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "ab"[i % 2], 10 + i % 7) for i in range(2000)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(pages, targets, shards=4)
+    mixing.write_shards(mixed, f"file://{tmp_path}/m")
+    back = spark.read.parquet(f"file://{tmp_path}/m")
+    assert back.count() == mixed.count()
+    for shard in range(4):
+        files = {}
+        for r in back.where(f"shard = {shard}").select("place", F.input_file_name().alias("f")).collect():
+            files.setdefault(r.f, []).append(r.place)
+        spans = sorted((v[0], v[-1]) for v in files.values())
+        assert all(v == sorted(v) for v in files.values()) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    other = {(r.doc_id, r.copy): r.shard for r in mixing.mix(pages, targets, shards=4, seed=5).collect()}
+    assert sum(other.get((r.doc_id, r.copy)) == r.shard for r in mixed.collect()) < 0.6 * len(other)

@@ -71,3 +71,13 @@ def test_hashes_are_of_the_run_alone():
         h = spans.run_hashes(x, n)
         assert len(h) == len(x) - n + 1 and h[0] == h[5]
         assert len(set(h.tolist())) == len({tuple(x[i : i + n]) for i in range(len(h))})
+
+
+def test_runs_of_sentences(spark):
+    s = [f"Sentence number {i} is here. " for i in range(9)]
+    docs = [(1, "".join(s[:6])), (2, "Other words! " + "".join(s[1:5]) + "An end"), (3, "".join(s[6:9]) * 2), (4, None), (5, ""), (None, "".join(s)), (6, "".join(s[:2]))]
+    got = {r.doc_id: (r.n_sentences, r.shared_chars, r.repeated_chars) for r in spans.sentence_spans(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    n = len(s[0])
+    # Page 3 repeats only itself; 1 is first, 2 has four sentences of it.
+    assert got == {1: (6, 4 * n, 0), 2: (6, 4 * n, 4 * n), 3: (6, 0, 3 * n)}
+    assert spans.sentence_spans(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
