@@ -113,6 +113,7 @@ g AS (SELECT origin, rec_id, form, min(no) first_no, count(*) n FROM c GROUP BY
 
 SQL = {
     "p2_found": _FORMS + "SELECT origin, rec_id, first_no, no AS copy_no FROM c JOIN g USING (origin, rec_id, form) WHERE no <> first_no",
+    "p2_collisions": _FORMS + "SELECT count(*) AS n_collisions FROM (SELECT md5(form) FROM c GROUP BY 1 HAVING min(form) <> max(form))",
     "p2_records": _FORMS + "SELECT origin, rec_id, first_no, n AS n_copies FROM g",
     "p10_found": """
 WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
