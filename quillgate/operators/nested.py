@@ -26,6 +26,8 @@ ignored; repeated records repeat their rows (ids are expected to be unique).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,11 +44,16 @@ def _kind(node: Column) -> Column:
     return F.schema_of_variant(node)
 
 
+def _with_kind(node: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the node's kind, which is worked out once."""
+    return F.element_at(F.transform(F.array(_kind(node)), use), 1)
+
+
 def label_state(node: Column) -> Column:
     """State of a node that should hold labels."""
-    k = _kind(node)
-    return (
-        F.when(k.isNull(), "absent")
+    return _with_kind(
+        node,
+        lambda k: F.when(k.isNull(), "absent")
         .when(k == "VOID", "null")
         .when(k == "ARRAY<VOID>", "empty")
         .when(k.startswith("ARRAY<OBJECT"), "objects")
@@ -54,7 +61,7 @@ def label_state(node: Column) -> Column:
         .when(k.startswith("ARRAY<ARRAY"), "other")
         .when(k.startswith("ARRAY<"), "names")
         .when(k.startswith("OBJECT"), "bare_object")
-        .otherwise("bare")
+        .otherwise("bare"),
     )
 
 
@@ -64,22 +71,25 @@ NAMED = "struct<urn string, name string>"
 def label_list(node: Column) -> Column:
     """The labels of a node as an array of raw texts, by the typed reading of its state."""
 
-    def one(x: Column) -> Column:
-        k = _kind(x)
-        return (
-            F.when(k.isNull() | (k == "VOID") | k.startswith("ARRAY"), F.lit(None).cast("string"))
+    def member(x: Column) -> Column:
+        return _with_kind(
+            x,
+            lambda k: F.when(k.isNull() | (k == "VOID") | k.startswith("ARRAY"), F.lit(None).cast("string"))
             .when(k.startswith("OBJECT"), F.coalesce(_get(x, "$.urn", "string"), _get(x, "$.name", "string")))
-            .otherwise(_get(x, "$", "string"))
+            .otherwise(_get(x, "$", "string")),
         )
 
     named = lambda x: F.coalesce(x["urn"], x["name"])
-    state = label_state(node)
-    raw = (
-        F.when(state == "names", _get(node, "$", "array<string>"))
-        .when(state == "objects", F.transform(_get(node, "$", f"array<{NAMED}>"), named))
-        .when(state == "bare", F.array(_get(node, "$", "string")))
-        .when(state == "bare_object", F.array(named(_get(node, "$", NAMED))))
-        .when(state == "mixed", F.transform(_get(node, "$", "array<variant>"), one))
+    # The kinds in the order of label_state: none, objects, mixed, other, names, bare_object, bare.
+    raw = _with_kind(
+        node,
+        lambda k: F.when(k.isNull() | (k == "VOID") | (k == "ARRAY<VOID>"), F.lit(None).cast("array<string>"))
+        .when(k.startswith("ARRAY<OBJECT"), F.transform(_get(node, "$", f"array<{NAMED}>"), named))
+        .when(k == "ARRAY<VARIANT>", F.transform(_get(node, "$", "array<variant>"), member))
+        .when(k.startswith("ARRAY<ARRAY"), F.lit(None).cast("array<string>"))
+        .when(k.startswith("ARRAY<"), _get(node, "$", "array<string>"))
+        .when(k.startswith("OBJECT"), F.array(named(_get(node, "$", NAMED))))
+        .otherwise(F.array(_get(node, "$", "string"))),
     )
     return F.filter(F.coalesce(raw, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
 
