@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillgate.operators import coverage, decide, nested, policy, snapshot_diff, usage
 from quillgate.operators.policy import Rule, Scope
 from quillgate.plans import problems
+from quillgate.session import scratch
+from quillgate.sources import audit_log, snapshot_store
 from quillgate.sources.tables import table
 from quillgate.streaming import incremental
 
@@ -189,6 +191,25 @@ def certified_by_label(spark: SparkSession, d: str) -> DataFrame:
     return policy.certified_by_label(_sets(spark, d))
 
 
+def audit_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The audit written as JSON lines and read back: lines, verdicts, subjects and reads by status."""
+    at = scratch(spark, "audit-log")
+    audit_log.append(table(spark, d, "audit"), at)
+    log = audit_log.normalized(audit_log.read(spark, at))
+    n = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).cast("bigint")
+    return log.groupBy("status").agg(F.count("*").alias("n_lines"), F.count_if("denied").alias("n_denied"), n("verdicts").alias("n_verdicts"), n("subjects").alias("n_subjects"), n("column_reads").alias("n_reads"), F.max("line_no").alias("last_line"))
+
+
+def stored_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog saved twice in a snapshot store and the newest read back: columns of each data set."""
+    store = snapshot_store.SnapshotStore(spark, scratch(spark, "catalogs"), keep=1)
+    for _ in range(2):
+        store.save({"datasets": _sets(spark, d), "columns": _cols(spark, d)})
+    newest = store.newest()
+    n = newest["columns"].groupBy(F.col("dataset_urn").alias("urn")).agg(F.count("*").alias("n_columns"))
+    return newest["datasets"].join(n, "urn", "left").select("urn", "platform", "lifecycle", F.coalesce("n_columns", F.lit(0)).alias("n_columns"))
+
+
 def snapshot_content(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots whose content is equal though their recorded hashes may differ: size of each group."""
     snaps = table(spark, d, "snapshots")
@@ -335,9 +356,13 @@ SQL["coverage_total"] = _GAPS + """, dead AS (""" + SQL["dead_rules"].removepref
     (SELECT count(*) FROM gap WHERE reason IS NOT NULL) n_gaps, (SELECT count(*) FROM dead) n_dead, (SELECT count(*) FROM orph) n_orphans, (SELECT count(*) FROM ds WHERE len(owners) = 0) n_unowned FROM t)
   SELECT *, CASE WHEN n_gaps > 0 THEN 'at-risk' WHEN n_dead > 0 OR n_orphans > 0 OR n_unowned > 0 THEN 'gaps' ELSE 'clear' END AS grade FROM m"""
 SQL["snapshot_content"] = problems.CONTENT_SQL
+SQL["audit_log_round_trip"] = """SELECT status, count(*) AS n_lines, count(*) FILTER (status IN ('denied', 'error')) AS n_denied, sum(coalesce(len(verdicts), 0))::BIGINT AS n_verdicts,
+  sum(coalesce(len(list_distinct(list_filter(list_transform(verdicts, lambda v: v.subject), lambda x: x IS NOT NULL))), 0))::BIGINT AS n_subjects,
+  sum(coalesce(cardinality(column_reads), 0))::BIGINT AS n_reads, max(line_no) AS last_line FROM audit GROUP BY status"""
+SQL["stored_catalog"] = _C + "SELECT ds.urn, ds.platform, lifecycle, count(co.urn) AS n_columns FROM ds LEFT JOIN co ON co.dataset_urn = ds.urn GROUP BY 1, 2, 3"
 
 QUERIES = {f.__name__: f for f in (
     column_outcomes, coverage_summary, coverage_gaps, proposals, dead_rules, unowned, unreachable, orphan_deprecated, visible_tables, certified_substitutes,
     substitute_pick, name_index, usage_daily, usage_streamed, usage_by_principal, usage_by_column, top_sql, denied_attempts, ledger_recent, explain_last, usage_read_back, audit_replay,
-    decision_grid, audit_decided, scope_denials, redirected_reads, coverage_total, usage_ledger_merged, describe_table, certified_by_label, snapshot_content,
+    decision_grid, audit_decided, scope_denials, redirected_reads, coverage_total, usage_ledger_merged, describe_table, certified_by_label, audit_log_round_trip, stored_catalog, snapshot_content,
 )}

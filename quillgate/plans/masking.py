@@ -128,6 +128,8 @@ STATEMENTS = {
     "semi_exists": "SELECT c_custkey, c_name FROM gv_customer c WHERE EXISTS (SELECT 1 FROM gv_orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)",
     "in_subquery": "SELECT s_suppkey, s_name FROM gv_supplier WHERE s_suppkey IN (SELECT l_suppkey FROM gv_lineitem WHERE l_quantity > 49)",
     "anti_join": "SELECT c_custkey, c_name FROM gv_customer c WHERE NOT EXISTS (SELECT 1 FROM gv_orders o WHERE o.o_custkey = c.c_custkey)",
+    "anti_exists": "SELECT c_custkey, c_name FROM gv_customer c WHERE NOT EXISTS (SELECT 1 FROM gv_orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)",
+    "except_pairs": "SELECT c_nationkey AS k, c_mktsegment AS s FROM gv_customer EXCEPT SELECT s_nationkey, 'BUILDING' FROM gv_supplier",
     "self_join": "SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_name FROM gv_supplier a JOIN gv_supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
     "corr_scalar": "SELECT c_custkey, c_name, (SELECT max(o_totalprice) FROM gv_orders o WHERE o.o_custkey = c.c_custkey) AS top_price FROM gv_customer c",
     "case_mask": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE 'other' END AS n FROM gv_customer",
@@ -172,6 +174,13 @@ def mask_shapes(spark: SparkSession, d: str) -> DataFrame:
     return masks.misshapen(governed_tables(spark, d)["contacts"], {"email": "partial_email", "phone": "partial_phone", "c_name": "fixed_string"})
 
 
-QUERIES = {n: _query(n) for n in STATEMENTS} | {"mask_shapes": mask_shapes}
+def mask_shapes_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The same check on the values before masking, which must fail it."""
+    raw = table(spark, d, "customer").select(F.concat("c_name", F.lit("@corp.com")).alias("email"), F.when(F.col("c_custkey") % 2 == 0, F.lit("***-0001")).otherwise(F.col("c_custkey").cast("string")).alias("phone"), "c_name")
+    return masks.misshapen(raw, {"email": "partial_email", "phone": "partial_phone", "c_name": "fixed_string"})
+
+
+QUERIES = {n: _query(n) for n in STATEMENTS} | {"mask_shapes": mask_shapes, "mask_shapes_raw": mask_shapes_raw}
 SQL = {n: (s if n == "raw_monitor" else (f"WITH {_RAW} SELECT * FROM ({s})" if s.startswith("WITH ") else f"WITH {_RAW} {s}")) for n, s in STATEMENTS.items()}
 SQL["mask_shapes"] = "SELECT count(*) AS n_rows, 0::BIGINT AS email, 0::BIGINT AS phone, 0::BIGINT AS c_name FROM customer"
+SQL["mask_shapes_raw"] = "SELECT count(*) AS n_rows, count(*) AS email, count(*) FILTER (c_custkey % 2 <> 0) AS phone, count(*) AS c_name FROM customer"
