@@ -233,6 +233,35 @@ def descendants(pathed: DataFrame) -> DataFrame:
     )
 
 
+def ancestors(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """node, walk (array of its ancestors, nearest first) of every named node, in trees and in or below loops.
+
+    Built by doubling like the paths. A walk that meets an ancestor again has
+    gone round its loop and holds all of them; a node on a loop is the last of
+    its own ancestors.
+    """
+    at = cut(links(edges, parent, child).select("node", F.col("up").alias("far"), F.array_compact(F.array("up")).alias("walk")), "walks")
+    while True:
+        # As in ``paths``: what is done stays out of the join, far ends with very many rows are joined apart.
+        going = at.where(F.col("far").isNotNull())
+        total = going.count()
+        if not total:
+            return at.select("node", "walk")
+        sizes = going.groupBy("far").agg(F.count("*").alias("_n"))
+        ends = at.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("walk").alias("_walk"))
+        ends = cut(ends.join(sizes, "far"), "ends")
+        longer = join_groups(going, ends, ["far"], "_n", total).withColumn("_both", F.array_distinct(F.concat("walk", "_walk")))
+        longer = longer.select(
+            "node", F.when(F.size("_both") == F.size("walk") + F.size("_walk"), F.col("_far")).alias("far"), F.col("_both").alias("walk")
+        )
+        at = cut(at.where(F.col("far").isNull()).unionByName(longer), "walks")
+
+
+def descendant_pairs(walks: DataFrame) -> DataFrame:
+    """node, descendant, distance (least steps): as ``descendants``, of all nodes of ``ancestors``."""
+    return walks.select(F.posexplode("walk").alias("_at", "node"), F.col("node").alias("descendant")).select("node", "descendant", (F.col("_at") + 1).cast("bigint").alias("distance"))
+
+
 def descendant_counts(pathed: DataFrame) -> DataFrame:
     """node, n_descendants, n_children of every node that has a path."""
     below = descendants(pathed).groupBy("node").agg(F.count("*").alias("n_descendants"), F.count_if(F.col("distance") == 1).alias("n_children"))

@@ -76,6 +76,15 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p5_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every node with its distance; nodes in and below loops, which have no path, too."""
+    a, b = (
+        hierarchy.descendant_pairs(hierarchy.ancestors(table(spark, d, g), parent, child)).withColumn("graph", F.lit(g))
+        for g, parent, child in (("lineage", "src_urn", "dst_urn"), ("column_lineage", "upstream_urn", "field_urn"))
+    )
+    return a.unionByName(b)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_diff.changes(table(spark, d, "snapshots"))
 
@@ -220,6 +229,18 @@ r AS (
 d AS (SELECT graph, a node, depth - i + 1 distance FROM (SELECT graph, depth, unnest(path) a, generate_subscripts(path, 1) i FROM r) WHERE i <= depth)
 SELECT r.graph, r.node, r.root, r.depth, count(d.node) AS n_descendants, count(CASE WHEN d.distance = 1 THEN 1 END) AS n_children
 FROM r LEFT JOIN d ON d.graph = r.graph AND d.node = r.node GROUP BY r.graph, r.node, r.root, r.depth
+""",
+    "p5_descendant_pairs": """
+WITH RECURSIVE e AS (
+  SELECT 'lineage' graph, src_urn up, dst_urn node FROM lineage
+  UNION ALL SELECT 'column_lineage', upstream_urn, field_urn FROM column_lineage),
+n AS (SELECT graph, node, min(up) up FROM (
+  SELECT graph, node, up FROM e UNION ALL SELECT graph, up, NULL FROM e) WHERE node IS NOT NULL GROUP BY ALL),
+w AS (
+  SELECT graph, up AS node, node AS descendant, 1::BIGINT AS distance, [up] AS seen FROM n WHERE up IS NOT NULL
+  UNION ALL SELECT w.graph, n.up, w.descendant, w.distance + 1, list_append(w.seen, n.up) FROM w JOIN n ON n.graph = w.graph AND n.node = w.node
+  WHERE n.up IS NOT NULL AND NOT list_contains(w.seen, n.up))
+SELECT graph, node, descendant, distance FROM w
 """,
     "p6_found": f"""
 WITH {_DATASETS},
@@ -297,5 +318,5 @@ SELECT min(r.snap_id) AS first_snap, count(*) AS n_snapshots, count(DISTINCT has
 """
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_variants, p1_datasets, p1_columns, p1_rejects, p1_edges, p4_found, p4_open_versions, p5_found, p5_paths, p5_descendants, p6_found, p6_intervals, p7_found, p7_lengths, p7_streamed,
+    p1_found, p1_variants, p1_datasets, p1_columns, p1_rejects, p1_edges, p4_found, p4_open_versions, p5_found, p5_paths, p5_descendants, p5_descendant_pairs, p6_found, p6_intervals, p7_found, p7_lengths, p7_streamed,
 )}
